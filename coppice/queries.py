@@ -1,6 +1,337 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, one per stage of training and prediction, with SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coppice.estimators import ClassificationModel, RegressionModel, train_classifier, train_regressor
+from coppice.functions.impurity import COLUMNS
+from coppice.operators import bagging, binning, metadata, search, splits
+from coppice.plans.grow import Strategy
+from coppice.plans.schedule import Task, pack
+from coppice.plans.tree import Tree
+from coppice.sources import models
+
+BINS = 256
+NUMERIC = ("l_quantity", "l_discount", "l_tax")
+FLAGS = ("A", "N", "R")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+STATUSES = ("F", "O", "P")
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def index(column: str, values: tuple[str, ...]) -> Column:
+    """Number of a string among its values."""
+    return (F.array_position(F.lit(list(values)), F.col(column)) - 1).cast("int")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _read(spark, sf_dir, "lineitem")
+    key = F.xxhash64("l_orderkey", "l_linenumber")
+    price = F.col("l_extendedprice").alias("price")
+    return own.select(F.array(*NUMERIC).alias("features"), price, index("l_returnflag", FLAGS).alias("flag"), "l_linenumber", key.alias("row_id"), F.lit(1.0).alias("weight"))
+
+
+def _cuts(rows: DataFrame, max_bins: int = BINS) -> tuple[metadata.Metadata, list[list[float]]]:
+    meta = metadata.build(len(NUMERIC), max_bins, 0, None, "variance", False, max_bins)
+    return meta, splits.find_thresholds(rows, meta, 17, exact=True)
+
+
+def distinct_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.distinct_counts(_lines(spark, sf_dir))
+
+
+def _as_rows(spark: SparkSession, cuts: list[list[float]]) -> DataFrame:
+    return spark.createDataFrame([(f, t) for f, own in enumerate(cuts) for t in own], "feature int, threshold double")
+
+
+def midpoint_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_rows(spark, _cuts(_lines(spark, sf_dir))[1])
+
+
+def stride_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_rows(spark, [_cuts(_lines(spark, sf_dir), 8)[1][0]])
+
+
+def _binned(rows: DataFrame) -> tuple[DataFrame, list[list[float]]]:
+    _, cuts = _cuts(rows)
+    own = [binning.bin_of(F.get("features", F.lit(f)), c).alias(f"b{f}") for f, c in enumerate(cuts)]
+    return rows.select("*", *own), cuts
+
+
+def bin_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _binned(_lines(spark, sf_dir))
+    return rows.groupBy("b0", "b1", "b2").agg(F.count("*").alias("n"))
+
+
+def _histogram(rows: DataFrame, stats: dict[str, Column]) -> tuple[DataFrame, list[list[float]]]:
+    binned, cuts = _binned(rows)
+    return search.histogram(binned, [(f"f{i}", F.col(f"b{i}")) for i in range(len(cuts))], stats), cuts
+
+
+def _class_stats(column: str, k: int, w: Column | None = None) -> dict[str, Column]:
+    one = F.lit(1.0) if w is None else w
+    return {f"n{c}": F.when(F.col(column) == c, one).otherwise(0.0) for c in range(k)}
+
+
+def _sum_stats() -> dict[str, Column]:
+    y = F.col("price")
+    return {"w": F.lit(1.0), "wy": y, "wyy": y * y}
+
+
+def bin_histogram_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _histogram(_lines(spark, sf_dir), _class_stats("flag", 3))[0]
+
+
+def bin_histogram_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _ = _histogram(_lines(spark, sf_dir), _sum_stats())
+    return cells.select("feature", "bin", "w", F.round("wy", 0).alias("wy"))
+
+
+def _stump(rows: DataFrame, impurity: str, stats: dict[str, Column], digits: int, **limits) -> DataFrame:
+    cells, cuts = _histogram(rows, stats)
+    best = search.best_of(search.split_gains(cells, impurity, list(stats), **limits))
+    threshold = F.get(F.get(F.lit(cuts), F.col("feature")), F.col("bin"))
+    left = F.col("l_w") if impurity == "variance" else sum((F.col(f"l_{s}") for s in list(stats)[1:]), F.col(f"l_{list(stats)[0]}"))
+    return best.select("feature", threshold.alias("threshold"), left.alias("left_weight"), F.round("gain", digits).alias("gain"))
+
+
+def stump_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stump(_lines(spark, sf_dir), "variance", _sum_stats(), 1)
+
+
+def stump_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stump(_lines(spark, sf_dir), "gini", _class_stats("flag", 3), 8)
+
+
+def stump_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stump(_lines(spark, sf_dir), "entropy", _class_stats("flag", 3), 8)
+
+
+def stump_min_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stump(_lines(spark, sf_dir), "variance", _sum_stats(), 1, least=5_000)
+
+
+def stump_min_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stump(_lines(spark, sf_dir), "variance", _sum_stats(), 1, min_gain=1e8)
+
+
+def stump_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stump(_lines(spark, sf_dir), "gini", _class_stats("flag", 3, F.col("l_linenumber").cast("double")), 8)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _read(spark, sf_dir, "orders")
+    return own.select(index("o_orderpriority", PRIORITIES).alias("category"), index("o_orderstatus", STATUSES).alias("status"), F.col("o_totalprice").alias("price"))
+
+
+def category_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _orders(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("price"), 3).alias("centroid"))
+    return cells
+
+
+def ordered_cat_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.col("price")
+    cells = search.histogram(_orders(spark, sf_dir), [("category", F.col("category"))], {"w": F.lit(1.0), "wy": y, "wyy": y * y})
+    cells = cells.withColumn("centroid", F.col("wy") / F.col("w"))
+    gains = search.split_gains(cells, "variance", ["w", "wy", "wyy"], order="centroid")
+    best = search.best_of(gains).select("gain", F.col("centroid").alias("last"))
+    left = cells.join(F.broadcast(best), F.col("centroid") <= F.col("last"))
+    return left.groupBy("gain").agg(F.array_join(F.sort_array(F.collect_list(F.col("bin").cast("string"))), ",").alias("left_categories"), F.sum("w").alias("left_weight")).select("left_categories", "left_weight")
+
+
+def unordered_cat_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arity, k = len(PRIORITIES), len(STATUSES)
+    cells = _orders(spark, sf_dir).groupBy("category").agg(*(F.sum(s).alias(n) for n, s in _class_stats("status", k).items()))
+    members = [(i, c) for i, own in enumerate(splits.unordered_subsets(arity)) for c in own]
+    table = cells.sparkSession.createDataFrame(members, "split int, category int")
+    names = [f"n{c}" for c in range(k)]
+    left = cells.join(F.broadcast(table), "category").groupBy("split").agg(*(F.sum(n).alias(f"l_{n}") for n in names))
+    total = cells.agg(*(F.sum(n).alias(f"t_{n}") for n in names))
+    both = left.join(F.broadcast(total))
+    of = COLUMNS["gini"]
+    lhs, all_ = [F.col(f"l_{n}") for n in names], [F.col(f"t_{n}") for n in names]
+    rhs = [t - v for t, v in zip(all_, lhs)]
+    add = lambda cs: sum(cs[1:], cs[0])
+    gain = of(*all_) - add(lhs) / add(all_) * of(*lhs) - add(rhs) / add(all_) * of(*rhs)
+    best = both.where((add(lhs) >= 1) & (add(rhs) >= 1)).select("split", F.round(gain, 10).alias("gain"), add(lhs).alias("left_weight"))
+    return best.orderBy(F.desc("gain"), "split").limit(1)
+
+
+def _fixed(condition: tuple[int, float], left: Tree | float, right: Tree | float) -> Tree:
+    """An inner node over trees or leaf values."""
+    tree = Tree()
+    tree.add(0.0, 1.0)
+    tree.feature[0], tree.threshold[0] = condition
+    for side, below in (("left", left), ("right", right)):
+        at = tree.add(0.0, 0.0)
+        getattr(tree, side)[0] = at
+        if isinstance(below, Tree):
+            tree.graft(at, below)
+        else:
+            tree.prediction[at] = below
+    return tree
+
+
+DEPTH_2 = _fixed((0, 25.0), _fixed((1, 0.05), 1.0, 2.0), _fixed((2, 0.03), 3.0, 4.0))
+STUMPS = [_fixed((0, 25.0), 0.0, 1.0), _fixed((1, 0.05), 1.0, 2.0), _fixed((2, 0.03), 2.0, 0.0)]
+
+
+def route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each leaf of a fixed tree, by heap number of the leaf."""
+    scored = RegressionModel([DEPTH_2], 3, 0).transform(_lines(spark, sf_dir))
+    return scored.groupBy((F.col("prediction") + 3).cast("int").alias("node")).agg(F.count("*").alias("n"))
+
+
+def tree_depth2_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = RegressionModel([DEPTH_2], 3, 0).transform(_read(spark, sf_dir, "lineitem").withColumn("features", F.array(*NUMERIC)))
+    return scored.select("l_orderkey", "l_linenumber", "prediction")
+
+
+def forest_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ClassificationModel(STUMPS, 3, 3).transform(_read(spark, sf_dir, "lineitem").withColumn("features", F.array(*NUMERIC)))
+    return scored.select("l_orderkey", "l_linenumber", "prediction")
+
+
+def forest_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = RegressionModel(STUMPS, 3, 0).transform(_read(spark, sf_dir, "lineitem").withColumn("features", F.array(*NUMERIC)))
+    return scored.select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
+
+
+def bag_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bagged = bagging.bag(_lines(spark, sf_dir), 4, 0.7, 17)
+    return bagged.select(F.posexplode("bag").alias("tree", "w")).groupBy("tree", "w").agg(F.count("*").alias("n"))
+
+
+def ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' rows as tasks."""
+    sizes = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").count()
+    top = sizes.agg(F.max("count").alias("m")).first()["m"]
+    tasks = [Task(0, r["l_suppkey"], r["count"], 0.0) for r in sizes.orderBy("l_suppkey").limit(100_000).collect()]
+    bins = pack(tasks, 4 * top, 5)
+    return spark.createDataFrame([(i, t.node, int(t.rows)) for i, b in enumerate(bins) for t in b.tasks], "bin int, l_suppkey long, n long")
+
+
+def _points(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(F.col(label).cast("double").alias("label"), "features", "weight", "row_id")
+
+
+def train_tree_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_regressor(_points(spark, sf_dir, "price"), max_depth=12, max_bins=64, local_max_rows=20_000)
+    return models.node_table(spark, model.trees).select("treeID", "nodeData.*").select("treeID", "id", "prediction", "impurity", "gain", "leftChild", "rightChild", "split.featureIndex")
+
+
+def train_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_classifier(_points(spark, sf_dir, "flag"), num_classes=3, max_depth=6, num_trees=5, local_max_rows=20_000)
+    return models.tree_sizes(models.node_table(spark, model.trees))
+
+
+def two_phase_equals_one_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _points(spark, sf_dir, "price").persist()
+    try:
+        one, two = (train_regressor(rows, max_depth=6, max_bins=64, local_max_rows=n) for n in (0, 10**9))
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(one.same(two), one.num_nodes, two.num_nodes)], "same boolean, distributed_nodes int, local_nodes int")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        distinct_value_counts, midpoint_splits, stride_splits, bin_features, bin_histogram_class, bin_histogram_reg, stump_variance, stump_gini, stump_entropy,
+        stump_min_instances, stump_min_gain, stump_weighted, category_centroids, ordered_cat_stump, unordered_cat_stump, route_rows, tree_depth2_predict, forest_vote,
+        forest_mean, bag_weights, ffd_packing, train_tree_deep, train_forest, two_phase_equals_one_phase,
+    )
+}
+
+
+def _long(*columns: str) -> str:
+    own = ", ".join(("", *columns))
+    return "long AS (" + " UNION ALL ".join(f"SELECT {i} AS feature, {c} AS v{own} FROM lineitem" for i, c in enumerate(NUMERIC)) + ")"
+
+
+_CLASS = [f"CASE WHEN l_returnflag = '{f}' THEN {{w}} ELSE 0.0::DOUBLE END" for f in FLAGS]
+_VARIANCE = {"w": "1.0::DOUBLE", "wy": "l_extendedprice", "wyy": "l_extendedprice * l_extendedprice"}
+
+
+def _classes(w: str = "1.0::DOUBLE") -> dict[str, str]:
+    return {f"n{i}": c.format(w=w) for i, c in enumerate(_CLASS)}
+
+
+def _impure(impurity: str, side: str, stats: list[str]) -> str:
+    s = [f"{side}_{x}" for x in stats]
+    if impurity == "variance":
+        return f"(({s[2]} - {s[1]} * {s[1]} / {s[0]}) / {s[0]})"
+    n = "(" + " + ".join(s) + ")"
+    if impurity == "gini":
+        return "(1.0::DOUBLE - (" + " + ".join(f"({x} / {n}) * ({x} / {n})" for x in s) + "))"
+    return "(" + " + ".join(f"CASE WHEN {x} > 0 THEN -({x} / {n}) * log2({x} / {n}) ELSE 0.0::DOUBLE END" for x in s) + ")"
+
+
+def _stump_sql(impurity: str, stats: dict[str, str], digits: int, least: float = 1, min_gain: float = 0.0) -> str:
+    names = list(stats)
+    size = lambda k: f"{k}_w" if impurity == "variance" else "(" + " + ".join(f"{k}_{n}" for n in names) + ")"
+    sums = ", ".join(f"sum({e}) AS {n}" for n, e in stats.items())
+    run = ", ".join(f"sum({n}) OVER u AS l_{n}, sum({n}) OVER p AS t_{n}" for n in names)
+    right = ", ".join(f"t_{n} - l_{n} AS r_{n}" for n in names)
+    gain = f"{_impure(impurity, 't', names)} - {size('l')} / {size('t')} * {_impure(impurity, 'l', names)} - {size('r')} / {size('t')} * {_impure(impurity, 'r', names)}"
+    return f"""WITH {_long("l_extendedprice", "l_returnflag", "l_linenumber")},
+h AS (SELECT feature, v, {sums} FROM long GROUP BY feature, v),
+c AS (SELECT feature, v, lead(v) OVER (PARTITION BY feature ORDER BY v) AS nv, {run} FROM h
+  WINDOW p AS (PARTITION BY feature), u AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, {right} FROM c WHERE nv IS NOT NULL),
+g AS (SELECT feature, v, (v + nv) / 2 AS threshold, {size("l")} AS left_weight, {gain} AS gain FROM r WHERE {size("l")} >= {least} AND {size("r")} >= {least})
+SELECT CAST(feature AS INTEGER) AS feature, threshold, left_weight, round(gain, {digits}) AS gain FROM g WHERE gain >= {min_gain} ORDER BY gain DESC, feature, v LIMIT 1"""
+
+
+_RANKS = f"""{_long("l_extendedprice", "l_returnflag")}, d AS (SELECT feature, v, count(*) AS n FROM long GROUP BY feature, v)"""
+_BIN = ", ".join(f"CAST((SELECT count(*) FROM t WHERE t.feature = {i} AND t.threshold < {c}) AS INTEGER) AS b{i}" for i, c in enumerate(NUMERIC))
+_BINNED = f"""{_RANKS}, bins AS (SELECT feature, v, CAST(row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS INTEGER) AS bin FROM d)"""
+_JOINED = " ".join(f"JOIN bins t{i} ON t{i}.feature = {i} AND t{i}.v = {c}" for i, c in enumerate(NUMERIC))
+_TREE = "CASE WHEN l_quantity <= 25 THEN CASE WHEN l_discount <= 0.05 THEN 1 ELSE 2 END ELSE CASE WHEN l_tax <= 0.03 THEN 3 ELSE 4 END END"
+_VOTES = ("CASE WHEN l_quantity <= 25 THEN 0 ELSE 1 END", "CASE WHEN l_discount <= 0.05 THEN 1 ELSE 2 END", "CASE WHEN l_tax <= 0.03 THEN 2 ELSE 0 END")
+_COUNTED = ", ".join("(" + " + ".join(f"CAST({v} = {c} AS INTEGER)" for v in _VOTES) + f") AS v{c}" for c in range(3))
+_PRIORITY = f"list_position({list(PRIORITIES)}, o_orderpriority) - 1"
+
+ORACLES: dict[str, str] = {
+    "distinct_value_counts": f"WITH {_RANKS} SELECT CAST(feature AS INTEGER) AS feature, v AS value, n FROM d",
+    "midpoint_splits": f"WITH {_RANKS}, t AS (SELECT feature, (v + lead(v) OVER (PARTITION BY feature ORDER BY v)) / 2 AS threshold FROM d) SELECT CAST(feature AS INTEGER) AS feature, threshold FROM t WHERE threshold IS NOT NULL",
+    "stride_splits": f"""WITH RECURSIVE {_RANKS}, s AS (SELECT v, lag(v) OVER (ORDER BY v) AS pv, sum(n) OVER (ORDER BY v) AS run, sum(n) OVER (ORDER BY v) - n AS before, row_number() OVER (ORDER BY v) AS i,
+  sum(n) OVER () / 8.0::DOUBLE AS stride FROM d WHERE feature = 0),
+f AS (SELECT i, stride AS target, NULL::DOUBLE AS threshold FROM s WHERE i = 1 UNION ALL
+  SELECT s.i, CASE WHEN abs(s.before - f.target) < abs(s.run - f.target) THEN f.target + s.stride ELSE f.target END,
+    CASE WHEN abs(s.before - f.target) < abs(s.run - f.target) THEN (s.pv + s.v) / 2 END FROM f JOIN s ON s.i = f.i + 1)
+SELECT 0 AS feature, threshold FROM f WHERE threshold IS NOT NULL""",
+    "bin_features": f"WITH {_BINNED} SELECT t0.bin AS b0, t1.bin AS b1, t2.bin AS b2, count(*) AS n FROM lineitem {_JOINED} GROUP BY 1, 2, 3",
+    "bin_histogram_class": f"WITH {_BINNED} SELECT CAST(bins.feature AS INTEGER) AS feature, bin, {', '.join(f'sum({e}) AS {n}' for n, e in _classes().items())} FROM long JOIN bins ON long.feature = bins.feature AND long.v = bins.v GROUP BY bins.feature, bin",
+    "bin_histogram_reg": f"WITH {_BINNED} SELECT CAST(bins.feature AS INTEGER) AS feature, bin, sum(1.0::DOUBLE) AS w, round(sum(l_extendedprice), 0) AS wy FROM long JOIN bins ON long.feature = bins.feature AND long.v = bins.v GROUP BY bins.feature, bin",
+    "stump_variance": _stump_sql("variance", _VARIANCE, 1),
+    "stump_gini": _stump_sql("gini", _classes(), 8),
+    "stump_entropy": _stump_sql("entropy", _classes(), 8),
+    "stump_min_instances": _stump_sql("variance", _VARIANCE, 1, least=5_000),
+    "stump_min_gain": _stump_sql("variance", _VARIANCE, 1, min_gain=1e8),
+    "stump_weighted": _stump_sql("gini", _classes("CAST(l_linenumber AS DOUBLE)"), 8),
+    "category_centroids": f"SELECT CAST({_PRIORITY} AS INTEGER) AS category, count(*) AS n, round(avg(o_totalprice), 3) AS centroid FROM orders GROUP BY 1",
+    "ordered_cat_stump": f"""WITH h AS (SELECT CAST({_PRIORITY} AS INTEGER) AS c, sum(1.0::DOUBLE) AS w, sum(o_totalprice) AS wy, sum(o_totalprice * o_totalprice) AS wyy FROM orders GROUP BY 1),
+r AS (SELECT *, wy / w AS m, sum(w) OVER u AS l_w, sum(wy) OVER u AS l_wy, sum(wyy) OVER u AS l_wyy, sum(w) OVER () AS t_w, sum(wy) OVER () AS t_wy, sum(wyy) OVER () AS t_wyy FROM h
+  WINDOW u AS (ORDER BY wy / w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, t_w - l_w AS r_w, t_wy - l_wy AS r_wy, t_wyy - l_wyy AS r_wyy FROM r WHERE l_w < t_w),
+b AS (SELECT m FROM s ORDER BY {_impure("variance", "t", list(_VARIANCE))} - l_w / t_w * {_impure("variance", "l", list(_VARIANCE))} - r_w / t_w * {_impure("variance", "r", list(_VARIANCE))} DESC LIMIT 1)
+SELECT string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS left_categories, sum(w) AS left_weight FROM h WHERE wy / w <= (SELECT m FROM b)""",
+    "unordered_cat_stump": f"""WITH h AS (SELECT {_PRIORITY} AS c, {', '.join(f"sum(CASE WHEN o_orderstatus = '{s}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS n{i}" for i, s in enumerate(STATUSES))} FROM orders GROUP BY 1),
+l AS (SELECT i - 1 AS split, {', '.join(f'sum(n{i}) AS l_n{i}' for i in range(3))} FROM range(1, 16) t(i), h WHERE (i >> CAST(c AS INTEGER)) & 1 = 1 GROUP BY i),
+b AS (SELECT l.*, {', '.join(f'(SELECT sum(n{i}) FROM h) AS t_n{i}, (SELECT sum(n{i}) FROM h) - l_n{i} AS r_n{i}' for i in range(3))} FROM l),
+g AS (SELECT split, l_n0 + l_n1 + l_n2 AS left_weight, {_impure("gini", "t", ["n0", "n1", "n2"])} - (l_n0 + l_n1 + l_n2) / (t_n0 + t_n1 + t_n2) * {_impure("gini", "l", ["n0", "n1", "n2"])}
+  - (r_n0 + r_n1 + r_n2) / (t_n0 + t_n1 + t_n2) * {_impure("gini", "r", ["n0", "n1", "n2"])} AS gain FROM b WHERE r_n0 + r_n1 + r_n2 >= 1)
+SELECT CAST(split AS INTEGER) AS split, round(gain, 10) AS gain, left_weight FROM g ORDER BY gain DESC, split LIMIT 1""",
+    "route_rows": f"SELECT CAST({_TREE} + 3 AS INTEGER) AS node, count(*) AS n FROM lineitem GROUP BY 1",
+    "tree_depth2_predict": f"SELECT l_orderkey, l_linenumber, CAST({_TREE} AS DOUBLE) AS prediction FROM lineitem",
+    "forest_vote": f"WITH v AS (SELECT l_orderkey, l_linenumber, {_COUNTED} FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS DOUBLE) AS prediction FROM v",
+    "forest_mean": f"SELECT l_orderkey, l_linenumber, round(({' + '.join(_VOTES)}) / 3.0::DOUBLE, 6) AS prediction FROM lineitem",
+}

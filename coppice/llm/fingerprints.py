@@ -64,8 +64,11 @@ def window_ranks(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def popularity(ranks: np.ndarray) -> np.ndarray:
-    """In how many runs of 64 windows each window is the leftmost lowest-ranked one."""
+def popularity(ranks: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+    """In how many runs of 64 windows (fewer at a text's end) each window is the leftmost lowest-ranked one.
+
+    ``inside``: which windows lie in one text; the others rank NOTHING, and no run starts at them.
+    """
     n = len(ranks)
     votes = np.zeros(n + SPAN + BLOCK, np.uint16)
     for at in range(0, n, BLOCK):
@@ -78,7 +81,7 @@ def popularity(ranks: np.ndarray) -> np.ndarray:
         while width < SPAN:
             keys = np.minimum(keys[:-width], keys[width:])
             width *= 2
-        keys = keys[:size]
+        keys = keys[:size] if inside is None else keys[:size][inside[at : at + size]]
         votes[at : at + size + SPAN] += np.bincount(keys & 0xFFFFF, minlength=size + SPAN).astype(np.uint16)
     return votes[:n]
 
@@ -93,8 +96,7 @@ def digests(raw: np.ndarray, at: np.ndarray) -> list[bytes]:
     np.add.at(valid, at[:-1] + windows, -(windows > 0).astype(np.int8))
     inside = np.cumsum(valid[: len(ranks)]).astype(bool)
     ranks[~inside] = NOTHING
-    votes = popularity(ranks)
-    votes[~inside] = 0
+    votes = popularity(ranks, inside)
     chosen = np.flatnonzero(votes >= POPULAR)
     doc = np.searchsorted(at, chosen, side="right") - 1
     has = np.zeros(docs, bool)

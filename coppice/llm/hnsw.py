@@ -142,7 +142,8 @@ class Graph:
             open_[live, pick] = False
             next_ = links[nodes[live, pick]].astype(np.int64)
             valid = (next_ >= 0) & ~seen[live[:, None], next_]
-            seen[live[:, None], np.where(valid, next_, 0)] |= valid
+            row, place = np.nonzero(valid)
+            seen[live[row], next_[row, place]] = True
             gap = np.where(valid, 1 - np.einsum("qmd,qd->qm", self.unit[next_], queries[live]), np.inf)
             all_nodes = np.concatenate([nodes[live], next_], 1)
             all_far = np.concatenate([far[live], gap], 1)

@@ -83,7 +83,7 @@ FOLD = _folded()
 
 @dataclass
 class Model:
-    """Languages with one joint transition table (next row << 1 | phrase ended)."""
+    """Languages with one joint transition table (next row << 1 | a phrase begins)."""
 
     languages: list[str]
     symbol: np.ndarray
@@ -106,13 +106,12 @@ def learn(texts: dict[str, bytes]) -> Model:
         state = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
         c = np.fromiter((x for s in steps for x in s), np.int64, len(state))
         to = np.fromiter((x for s in steps for x in s.values()), np.int64, len(state))
-        start = np.zeros(width, np.int64)  # after a failure: the phrase ended before this byte
+        start = np.zeros(width, np.int64)  # where the phrase that a byte begins leads; the root for a byte never seen
         own = state == 0
         start[c[own]] = to[own]
         block = np.empty((len(steps), width), np.int64)
         block[:] = ((base + start) * width << 1 | 1)[None, :]
-        block[0, start == 0] = base * width << 1 | 1  # a byte that occurs nowhere is a phrase
-        block[state, c] = (base + to) * width << 1
+        block[state[~own], c[~own]] = (base + to[~own]) * width << 1
         blocks.append(block)
         roots.append(base * width)
         base += len(steps)
@@ -144,7 +143,7 @@ def phrases(model: Model, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         grid = np.ascontiguousarray(grid.T)
         active = np.searchsorted(-n, -np.arange(1, steps + 1), side="right")
         state = np.repeat(model.roots[:, None], len(s), 1)
-        count = np.ones((langs, len(s)), np.int32)  # the last phrase
+        count = np.zeros((langs, len(s)), np.int32)
         for i in range(steps):
             k = active[i]
             taken = model.table.take(state[:, :k] + grid[i, :k])

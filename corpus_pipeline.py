@@ -11,6 +11,9 @@ Stages 1 to 4 return the columns of documents. Null ids count as larger than any
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +22,22 @@ from coppice.llm import langid, mixing, packing, simhash, suffixes
 from coppice.llm.common import LAST_ID, stored
 
 SHINGLE, PRINTS = 5, 4
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def over_plain_names(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Columns beyond those of documents pass through a stage under plain names, so that none can clash with its own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in COLUMNS else f"x{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, plain))), sf_dir)
+        return out.select(*(F.col(p).alias(c) for c, p in zip(docs.columns, plain)))
+
+    return run
 
 
+@over_plain_names
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(langid.samples(docs))
     judged = langid.identify(docs, model, keep=True)
@@ -28,6 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+@over_plain_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles; documents link if any of four SimHash prints differs in at most 4 of 64 bits."""
     found = simhash.near_duplicates(docs, SHINGLE, prints=PRINTS)
@@ -41,6 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ranked.where("_i = 1").select(*docs.columns)
 
 
+@over_plain_names
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(docs).where(F.length(F.trim("kept")) > 0)
     out = out.withColumn("text", F.col("kept"))
@@ -49,6 +68,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.select(*docs.columns)
 
 
+@over_plain_names
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.materialise(docs, mixing.mix_documents(docs))
 

@@ -214,7 +214,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node with an edge (a, b): root is its component's smallest node. Star contraction.
+    """(node, root) of every node with an edge (a, b) but the roots themselves: root is a component's smallest node. Star contraction.
 
     Nodes are longs whose order decides which is smallest.
     """

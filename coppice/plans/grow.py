@@ -67,7 +67,7 @@ class Strategy:
             (self.max_memory_multiplier > 0, "maxMemoryMultiplier must be positive"),
             (self.max_tasks_per_bin >= 1, "maxTasksPerBin must be at least 1"),
             (self.checkpoint_interval >= 1 or self.checkpoint_interval == -1, "checkpointInterval must be -1 or positive"),
-            (all(k >= 2 for k in self.categorical.values()) or not self.categorical or all(k >= 1 for k in self.categorical.values()), "categorical features need categories"),
+            (all(k >= 1 for k in self.categorical.values()), "categorical features need categories"),
         ]
         for ok, message in checks:
             if not ok:
@@ -194,10 +194,11 @@ def find_best_splits(state: _State, trees: list[Tree], group: list[tuple[int, in
                     else:
                         add = sum(np.bincount((cell + i)[has], v[has], minlength=size) for i, v in enumerate((w, w * y, w * y * y)))
                     sums[local_slots, j] += add.reshape(len(local_slots), cells_k)
-        out = [(i, b, flat[i].reshape(width, -1)[b * FEATURE_BLOCK : (b + 1) * FEATURE_BLOCK].tobytes()) for i in np.flatnonzero(seen) for b in range(_block(width))]
-        if out:
-            i, b, cells_ = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(b, pa.int32()), pa.array(cells_, pa.binary())], names=["slot", "block", "cells"])
+        for b in range(_block(width)):
+            for own in np.array_split(np.flatnonzero(seen), 1 + int(seen.sum()) // 256):
+                if len(own):
+                    parts = [flat[i].reshape(width, -1)[b * FEATURE_BLOCK : (b + 1) * FEATURE_BLOCK].tobytes() for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([b] * len(own), pa.int32()), pa.array(parts, pa.binary())], names=["slot", "block", "cells"])
 
     def choose(slot: int, block: int, total: np.ndarray):
         own = total.reshape(-1, cells, k)
@@ -413,8 +414,6 @@ def _finish_locally(state: _State, trees: list[Tree], tasks: list[Task], strateg
             if r["categories"] is not None:
                 sub.categories[n], sub.arity[n] = tuple(r["categories"]), meta.arity[r["feature"]]
         task = ordered[i]
-        if sub.impurity[0] == -1.0 and sub.is_leaf(0):
-            sub.impurity[0] = -1.0
         trees[task.tree].graft(task.node, sub)
         out.append((task.tree, task.node, task.rows, task.impurity, own[0]["seconds"]))
     return out

@@ -142,10 +142,12 @@ class _State:
 
 
 def _nodes_of(batch: pa.RecordBatch, bins: np.ndarray, flats) -> np.ndarray:
+    """Nodes of a batch's rows: as kept, and with ``flats`` walked on from there or from the roots."""
     at = batch.schema.get_field_index("nodes")
-    if at >= 0:
-        return _matrix(batch.column(at))
-    return np.stack([f.leaves(bins, True) for f in flats], 1)
+    kept = _matrix(batch.column(at)) if at >= 0 else None
+    if flats is None:
+        return kept
+    return np.stack([f.leaves(bins, True, None if kept is None else kept[:, t]) for t, f in enumerate(flats)], 1)
 
 
 def find_best_splits(state: _State, trees: list[Tree], group: list[tuple[int, int]], meta: Metadata, features: list[list[int]]) -> dict[tuple[int, int], Found]:
@@ -334,7 +336,7 @@ def _grow(state: _State, strategy: Strategy, meta: Metadata, thresholds, seconds
                         after.append((t, kid))
         depth += 1
         level = after
-        if level or tasks:
+        if level:
             state.advance(trees)
         lap("distributed")
     nodes = _finish_locally(state, trees, tasks, strategy, meta, thresholds, limit) if tasks else []
@@ -361,8 +363,9 @@ def _finish_locally(state: _State, trees: list[Tree], tasks: list[Task], strateg
     slots = [np.full(len(t), -1, np.int64) for t in trees]
     for i, task in enumerate(ordered):
         slots[task.tree][task.node] = i
-    flats = None if state.cached else [t.flat() for t in trees]
-    wide = np.int32
+    flats = [t.flat() for t in trees]
+    narrow = np.uint8 if max(meta.bins(f) for f in range(meta.num_features)) <= 256 else np.int32
+    sent = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def spread(batches):
         for batch in batches:
@@ -371,14 +374,17 @@ def _finish_locally(state: _State, trees: list[Tree], tasks: list[Task], strateg
             own, bag = _matrix(batch.column(0)), _matrix(batch.column(3), np.float64)
             labels, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             nodes = _nodes_of(batch, own, flats)
+            small = own.astype(narrow)
             for t, slot_of in enumerate(slots):
                 slot = slot_of[nodes[:, t]]
                 rows = np.flatnonzero((slot >= 0) & (bag[:, t] > 0))
-                if len(rows):
-                    part = own[rows].astype(wide)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * part.shape[1], pa.int32()), pa.array(part.ravel()))
-                    columns = [pa.array(bin_of[slot[rows]].astype(np.int32)), pa.array(slot[rows].astype(np.int32)), lists, pa.array(labels[rows]), pa.array(bag[rows, t] * weights[rows])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["bin", "task", "bins", "label", "w"])
+                if not len(rows):
+                    continue
+                rows = rows[np.argsort(slot[rows], kind="stable")]
+                names, first = np.unique(slot[rows], return_index=True)
+                parts = [rows[a:z] for a, z in zip(first, np.append(first[1:], len(rows)))]
+                columns = [bin_of[names].tolist(), names.tolist(), [small[r].tobytes() for r in parts], [labels[r].tobytes() for r in parts], [(bag[r, t] * weights[r]).tobytes() for r in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, sent)], names=["bin", "task", "bins", "label", "w"])
 
     trainer, seed, max_depth = strategy.local_trainer, strategy.seed, strategy.max_depth
 
@@ -386,8 +392,9 @@ def _finish_locally(state: _State, trees: list[Tree], tasks: list[Task], strateg
         began = time.perf_counter()
         i = table.column("task")[0].as_py()
         task = ordered[i]
-        own = _matrix(table.column("bins").combine_chunks())
-        labels, weights = (table.column(c).to_numpy() for c in ("label", "w"))
+        joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        own = joined("bins", narrow).reshape(-1, meta.num_features).astype(np.int64)
+        labels, weights = joined("label", np.float64), joined("w", np.float64)
         key = (task.tree, task.node + (1 << 32))
         sub = trainer(own, labels, weights, meta, thresholds, max_depth - task.depth, seed, key)
         spent = time.perf_counter() - began
@@ -398,7 +405,7 @@ def _finish_locally(state: _State, trees: list[Tree], tasks: list[Task], strateg
     names = [c.split()[0] for c in schema.split(", ")]
     kind = {"int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
     kinds = [kind[c.split()[1]] for c in schema.split(", ")]
-    shipped = state.now.mapInArrow(spread, "bin int, task int, bins array<int>, label double, w double")
+    shipped = state.now.mapInArrow(spread, "bin int, task int, bins binary, label binary, w binary")
     placed = shipped.repartitionById(len(bins), F.col("bin")) if hasattr(shipped, "repartitionById") else shipped.repartition(len(bins), "bin")
     rows = placed.groupBy("bin", "task").applyInArrow(fit, schema).collect()
     subtrees: dict[int, list] = {}

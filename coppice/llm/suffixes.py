@@ -115,7 +115,7 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> Runs:
         moved = np.zeros(n + 1, np.int64)
         np.cumsum(place[1:] != place[:-1], out=moved[2:])
         times = 1 + (moved[start + windows] > moved[start + 1])
-        out.append((m[start], start + b, windows, times))
+        out.append((mix64(m[start]), start + b, windows, times))  # least hashes are small; mixed, they spread evenly
     if not out:
         empty = np.zeros(0, np.int64)
         return Runs(empty.astype(np.uint64), empty, empty, empty)

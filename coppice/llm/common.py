@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -69,6 +70,24 @@ def search_sorted(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.lit(steps[::-1]), F.lit(0), advance)
 
 
+#: A key with this share of all rows or more is joined by broadcast; there can be no more such keys than its inverse.
+HOT_SHARE = 1000
+
+
+def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``left`` with stored ``right`` (one row a key; ``_n``: rows of ``left`` with it), whatever the skew.
+
+    At most ``HOT_SHARE`` keys have so large a share of the rows that they are hot: their rows meet a broadcast. The rest
+    is shuffled by key.
+    """
+    total = right.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).first()["t"]
+    is_hot = F.col("_n") * HOT_SHARE >= F.lit(total)
+    hot, cold = (right.where(c).drop("_n") for c in (is_hot, ~is_hot))
+    met = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return met.unionByName(rest)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; nulls have length 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,6 +123,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, beside the executor's own."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Invertible 64-bit finaliser."""
     x = x ^ (x >> np.uint64(32))

@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.llm.common import join_with_hot_keys, stored
+
 BAD, Z = 0.5, 1.645
-SALT = 32
 #: Prior sample sizes are kept within these bounds.
 WEAK, STRONG = 1.0, 10_000.0
 #: (verdict, host, path)
@@ -70,7 +71,7 @@ def _strength(groups: DataFrame, level: str, above: str) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, low): lower posterior bound of the bad rate of each host in outcomes (host, n, bad), one row a host."""
+    """(host, low, _n): lower posterior bound of the bad rate of each host in outcomes (host, n, bad, _n), one row a host."""
     named = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     total = named.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("m0"))
     shrunk = lambda up, k: (F.col("bad") + F.col(k) * F.col(up)) / (F.col("n") + F.col(k))
@@ -82,7 +83,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.join(F.broadcast(_strength(hosts, "k3", "m2")))
     a, b = F.col("bad") + F.col("k3") * F.col("m2"), F.col("n") - F.col("bad") + F.col("k3") * (1 - F.col("m2"))
     mean, deviation = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", (mean - Z * deviation).alias("low"))
+    return hosts.select("host", (mean - Z * deviation).alias("low"), "_n")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, bad: float = BAD) -> DataFrame:
@@ -91,10 +92,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, bad: float = BAD) ->
     parsed = parsed.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = labels.where("outcome is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("outcome").alias("bad"))
     seen = parsed.join(known, "page_id", "left")
-    by_host = seen.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    low = reputation(by_host).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = parsed.withColumn("_s", F.pmod(F.hash("page_id", "path"), F.lit(SALT)))  # a host may have a third of all pages
-    judged = salted.join(low, ["host", "_s"])
+    by_host = seen.groupBy("host").agg(F.count("*").alias("_n"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    judged = join_with_hot_keys(parsed, stored(reputation(by_host)), "host")  # a host may have a third of all pages
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > bad, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.common import checkpointed, mix64, partitions, picked, stored, text_buffers
+from coppice.llm.common import LAST_ID, checkpointed, join_with_hot_keys, mix64, partitions, picked, release, stored, text_buffers
 
 SHINGLE, RADIUS = 4, 4
 TILE = 4096
@@ -74,18 +74,20 @@ def simhashes(text: bytes, shingle: int = SHINGLE, prints: int = 1) -> list[int]
 
 
 def fingerprinted(df: DataFrame, shingle: int = SHINGLE, prints: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fps (each print's 64 bits as long), stored."""
+    """doc_id, h (a digest of the text that tells rows of one id apart) and fps (each print's 64 bits as long), stored."""
     docs = picked(df, doc_id=(doc_id, T.LongType()), text=(text, T.StringType()))
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
 
     def run(batches):
         for batch in batches:
-            raw, at = text_buffers(batch.column(1))
+            raw, at = text_buffers(batch.column(2))
             whole, at = raw.tobytes(), at.tolist()
             fps = np.array([simhashes(whole[a:b], shingle, prints) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * prints, pa.int32()), pa.array(fps.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "h", "fps"])
+        release()
 
-    return stored(docs.mapInArrow(run, "doc_id long, fps array<long>"))
+    return stored(docs.mapInArrow(run, "doc_id long, h long, fps array<long>"))
 
 
 def blocking(n: int, radius: int = RADIUS) -> tuple[int, int]:
@@ -194,6 +196,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
                 yield found(frame.iloc[:cut])
         if held is not None and len(held):
             yield found(held)
+        release()
 
     def found(frame):
         values = [frame[c].to_numpy() for c in group]
@@ -237,8 +240,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def clusters(prints: DataFrame, count: int = 1, radius: int = RADIUS) -> DataFrame:
-    """Adds component_id (smallest doc_id reachable) to stored (doc_id, fps): links are within the radius in any of ``count`` prints."""
-    distinct = checkpointed(prints.groupBy("fps").agg(F.min("doc_id").alias("first")).withColumn("node", F.get("fps", F.lit(0)) if count == 1 else F.xxhash64("fps")))
+    """Adds ``first`` (k, h), the first row reachable, to stored (doc_id, h, fps): links are within the radius in any of ``count`` prints.
+
+    k is the id, or the largest long for a null one.
+    """
+    row = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), "h")
+    distinct = checkpointed(prints.groupBy("fps").agg(F.min(row).alias("first"), F.count("*").alias("_n")).withColumn("node", F.get("fps", F.lit(0)) if count == 1 else F.xxhash64("fps")))
     edges = None
     for t in range(count):
         own = distinct.select(F.get("fps", F.lit(t)).alias("fp"), "node")
@@ -250,19 +257,21 @@ def clusters(prints: DataFrame, count: int = 1, radius: int = RADIUS) -> DataFra
             found = found.union(named.join(shared, "a").select("a", "b"))
         edges = found if edges is None else edges.union(found)
     roots = components(checkpointed(edges))
-    named = distinct.join(roots, "node", "left").select("fps", "first", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return _salted(prints, named.join(smallest, "root").select("fps", "component_id"))
-
-
-def _salted(prints: DataFrame, labels: DataFrame, salt: int = 16) -> DataFrame:
-    """Joins each document to its fingerprint's label; a fingerprint may have a third of all documents, so both sides are salted."""
-    left = prints.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int"))
-    right = labels.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return left.join(right, ["fps", "_s"]).select("doc_id", "fps", "component_id")
+    named = distinct.join(roots, "node", "left").select("fps", "first", "_n", F.coalesce("root", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("first"))
+    labels = stored(named.drop("first").join(smallest, "root").select("fps", "first", "_n"))
+    return join_with_hot_keys(prints, labels, "fps")
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits, of the first print), component_id."""
     out = clusters(fingerprinted(df, shingle, prints, doc_id, text), prints, radius)
-    return out.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
+    component = F.when(F.col("first.k") < LAST_ID, F.col("first.k")).alias("component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), component)
+
+
+def later_rows(df: DataFrame, shingle: int, prints: int, radius: int = RADIUS) -> DataFrame:
+    """(k, h) of the rows of ``df`` that aren't the first of their component."""
+    found = clusters(fingerprinted(df, shingle, prints), prints, radius)
+    k = F.coalesce("doc_id", F.lit(LAST_ID)).alias("k")
+    return found.where((k != F.col("first.k")) | (F.col("h") != F.col("first.h"))).select(k, "h").distinct()

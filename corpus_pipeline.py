@@ -48,15 +48,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @over_plain_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles; documents link if any of four SimHash prints differs in at most 4 of 64 bits."""
-    found = simhash.near_duplicates(docs, SHINGLE, prints=PRINTS)
-    later = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = later.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_gone")).distinct()
-    kept = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(LAST_ID)) == gone["_gone"], "left_anti")
+    gone = simhash.later_rows(docs, SHINGLE, PRINTS)
+    k, h = F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    kept = docs.select("*", k, h).join(gone, ["k", "h"], "left_anti")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    twin = Window.partitionBy("doc_id", "_h").orderBy("_h")  # ids repeat: of equal texts of one id one row stays
-    ranked = kept.withColumn("_h", F.xxhash64("text")).withColumn("_i", F.row_number().over(twin))
-    return ranked.where("_i = 1").select(*docs.columns)
+        return kept.select(*docs.columns)
+    twin = Window.partitionBy("k", "h").orderBy("h")  # ids repeat: of equal texts of one id one row stays
+    return kept.withColumn("i", F.row_number().over(twin)).where("i = 1").select(*docs.columns)
 
 
 @over_plain_names

@@ -1,0 +1,231 @@
+"""Near-duplicates by exact Jaccard similarity of their sets of word shingles: every pair at or above the threshold links.
+
+Equal sets collapse to one row first. Two sets of similarity t share at least ceil(t n) shingles, n being the size of
+either, so under any common order of all shingles they share s of their first n - ceil(t n) + s, for any s up to that:
+these alone are shuffled, s being a twentieth of n, and the sets that meet there often enough are compared. No pair is
+lost, whatever the order; the order only decides how many others meet. Rare shingles come first: those that repeat in a
+sample of documents go last, by their number there.
+
+Pairs are dropped if their sizes, or what is left behind the first common shingle, can't give the similarity; the rest
+is verified on the whole sets. That is done twice: first for neighbours by size at each shingle only, then for all pairs
+whose sets aren't connected yet, so that a large family of near copies isn't compared pair by pair.
+
+Defined cases: texts are split at ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle
+of all of them; texts without words, null among them, equal each other; a null doc_id counts as larger than any other.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from coppice.llm.common import LAST_ID, checkpointed, join_with_hot_keys, partitions, picked, release, stored, text_buffers
+from coppice.llm.simhash import components
+
+SHINGLE = 5
+#: The least similarity as numerator and denominator.
+LEAST = (4, 5)
+#: Repeated shingles that the order knows at most, how often one must be in the sample, and about how many documents the sample has at least.
+KNOWN, OFTEN, SAMPLE = 1 << 19, 2, 10_000
+#: A set must meet another at one shingle and one more for so many of its own.
+MEET = 20
+BUCKETS = 1 << 22
+#: Shingles sent together.
+STEP = 1 << 18
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 (seed 42) of all word shingles, ascending."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    n = max(1, len(words) - shingle + 1)
+    starts = [0, *(gaps[: n - 1] + 1).tolist()]
+    ends = [*gaps[shingle - 1 : shingle + n - 2].tolist(), len(line)] if n > 1 else [len(line)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends)), np.uint64, n))
+
+
+def prefix(own: np.ndarray, known: np.ndarray, times: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """The first shingles of a set, in the common order: any set similar enough has ``1 + n // MEET`` of them, n being the smaller size, or 0.8 n."""
+    n = len(own)
+    if not n:
+        return own
+    rank = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        rank = np.where(known[at] == own, times[at], 0)
+    return own[np.lexsort((own, rank))][: n + least[0] * -n // least[1] + 1 + n // MEET]
+
+
+def _texts(batch: pa.RecordBatch, rows: np.ndarray | None = None):
+    raw, at = text_buffers(batch.column(batch.schema.get_field_index("text")))
+    whole, at = raw.tobytes(), at.tolist()
+    for i in range(batch.num_rows) if rows is None else rows.tolist():
+        yield whole[at[i] : at[i + 1]]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
+
+def _ref(own: np.ndarray) -> int:
+    """Name of a set."""
+    return xxhash.xxh64_intdigest(own.tobytes(), 42)
+
+
+def frequent(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat in a sample of the texts (ascending), and how often: at most ``KNOWN``."""
+    share = max(1, min(16, docs.count() // SAMPLE))
+
+    def run(batches):
+        own, size = [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for text in _texts(batch):
+                own.append(shingles(text, shingle))
+                size += len(own[-1])
+                if size >= STEP:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["key"])
+                    own, size = own[:1], 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["key"])
+        release()
+
+    drawn = docs.where(F.pmod("h", F.lit(share)) == 0).select("text").mapInArrow(run, "key long")
+    top = drawn.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(KNOWN).toArrow()
+    key, times = (top[c].to_numpy() for c in ("key", "count"))
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], times[order]
+
+
+def described(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """k, h, ref (the name of the set of shingles), n (its size) and keys (its prefix) of (k, h, text), stored."""
+    known, times = frequent(docs, shingle)
+
+    def run(batches):
+        for batch in batches:
+            refs, sizes, keys = [], [], []
+            for text in _texts(batch):
+                own = shingles(text, shingle)
+                refs.append(_ref(own))
+                sizes.append(len(own))
+                keys.append(prefix(own, known, times, least))
+            ref = np.array(refs, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ref), pa.array(sizes, pa.int64()), _lists(keys)], names=["k", "h", "ref", "n", "keys"])
+        release()
+
+    return stored(docs.select("k", "h", "text").mapInArrow(run, "k long, h long, ref long, n long, keys array<long>"))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(key, ref, n, at) of the sets that meet another at a key of their prefixes, ``at`` being its place there; stored."""
+    rows = rows.select("ref", "n", F.posexplode("keys").alias("at", "key"))
+    rows = rows.select("key", "ref", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+
+    def run(batches):
+        held, told = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.array([c.to_numpy() for c in batch.columns])
+            if held is not None:
+                cells = np.concatenate([held, cells], 1)
+            new = np.ones(cells.shape[1], bool)
+            new[1:] = (cells[:2, 1:] != cells[:2, :-1]).any(0)
+            cells = cells[:, new]
+            same = cells[0, 1:] == cells[0, :-1]
+            met = np.append(False, same) | np.append(same, False)
+            out = met.copy()
+            out[0] &= not told
+            told = bool(met[-1]) or (told and len(met) == 1)
+            held = cells[:, -1:]
+            key, ref, place = cells[:, out]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ref, place >> 32, place & (1 << 32) - 1)], names=["key", "ref", "n", "at"])
+        release()
+
+    ordered = rows.repartition(partitions(rows), "key").sortWithinPartitions("key", "ref")
+    return stored(ordered.mapInArrow(run, "key long, ref long, n long, at long"))
+
+
+def possible(met: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The distinct pairs (a, b) of the rows (a, n, at, b, m, bt), one a common key, that can be similar enough: by their sizes, by
+    what is left from the first common key on, and by the number of common keys."""
+    up, down = least
+    small, large = F.least("n", "m"), F.greatest("n", "m")
+    sized = met.where(small * down >= large * up)
+    seen = sized.groupBy("a", "b").agg(F.min(small).alias("s"), F.min(large).alias("l"), F.count("*").alias("c"), F.max(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))).alias("rest"))
+    must = F.least(1 + F.expr(f"s div {MEET}"), F.ceil(F.col("s") * up / down))
+    return seen.where((F.col("c") >= must) & (F.col("rest") * (up + down) >= (F.col("s") + F.col("l")) * up)).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    up, down = least
+    met = pairs.join(sets.select(F.col("ref").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("ref").alias("b"), F.col("own").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return met.where(common * (up + down) >= (F.size("x") + F.size("y")) * up).select("a", "b")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(ref, own) of the sets of the rows ``wanted`` (k, h, ref), stored. Other texts are passed over by a table of bits, not shuffled."""
+    bucket = F.pmod("h", F.lit(BUCKETS))
+    words = np.zeros(BUCKETS // 64, np.int64)  # at most that many rows come to the driver
+    for r in wanted.select(bucket.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits")).collect():
+        words[r["w"]] = r["bits"]
+    bits = words.view(np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            b = np.mod(batch.column(1).to_numpy(), BUCKETS)
+            rows = np.flatnonzero(bits[b // 64] >> (b % 64).astype(np.uint64) & np.uint64(1))
+            own = [shingles(text, shingle) for text in _texts(batch, rows)]
+            ref = np.array([_ref(o) for o in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(ref), _lists(own)], names=["k", "h", "ref", "own"])
+        release()
+
+    found = docs.select("k", "h", "text").mapInArrow(run, "k long, h long, ref long, own array<long>")
+    return stored(found.join(wanted, ["k", "h", "ref"], "left_semi").dropDuplicates(["ref"]).select("ref", "own"))
+
+
+def links(docs: DataFrame, rows: DataFrame, first: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links (a, b) of sets that connect every two similar enough, perhaps through others. ``first``: ref and a row (k, h) with it."""
+    met = meetings(rows)
+    before = F.lag(F.struct("ref", "n", "at")).over(Window.partitionBy("key").orderBy("n", "ref"))
+    chain = met.withColumn("p", before).where("p IS NOT NULL")
+    first_is_a = F.col("ref") < F.col("p.ref")
+    chain = chain.select(F.least("ref", "p.ref").alias("a"), F.greatest("ref", "p.ref").alias("b"), *(F.when(first_is_a, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("n", "p.n", "n"), ("at", "p.at", "at"), ("p.n", "n", "m"), ("p.at", "at", "bt"))))
+    near = checkpointed(similar(docs, possible(chain, least), first, shingle, least))
+    grouped = met.join(components(near).withColumnRenamed("node", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
+    x, y = grouped.alias("x"), grouped.alias("y")
+    apart = (F.col("x.ref") < F.col("y.ref")) & (F.col("x.root") != F.col("y.root"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
+    met = met.select(*(F.col(c).alias(z) for c, z in (("x.ref", "a"), ("x.n", "n"), ("x.at", "at"), ("y.ref", "b"), ("y.n", "m"), ("y.at", "bt"))))
+    return near.union(similar(docs, possible(met, least), first, shingle, least))
+
+
+def similar(docs: DataFrame, pairs: DataFrame, first: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by their whole sets."""
+    pairs = stored(pairs)
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "ref")
+    wanted = stored(wanted.join(first, "ref").select("first.k", "first.h", "ref"))
+    return verified(pairs, whole_sets(docs, wanted, shingle), least)
+
+
+def later_rows(df: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, h) of the rows that aren't the first of their component: k is the id, or the largest long for a null one, h a digest of the text."""
+    docs = picked(df, doc_id=(doc_id, T.LongType()), text=(text, T.StringType()))
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    rows = described(docs, shingle, least)
+    distinct = stored(rows.groupBy("ref").agg(F.min(F.struct("k", "h")).alias("first"), F.count("*").alias("_n")))
+    roots = components(checkpointed(links(docs, rows, distinct.drop("_n"), shingle, least)))
+    named = distinct.join(roots.withColumnRenamed("node", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("first"))
+    labels = stored(named.drop("first").join(smallest, "root").select("ref", "first", "_n"))
+    found = join_with_hot_keys(rows.select("k", "h", "ref"), labels, "ref")
+    return found.where((F.col("k") != F.col("first.k")) | (F.col("h") != F.col("first.h"))).select("k", "h").distinct()

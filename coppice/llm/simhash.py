@@ -268,10 +268,3 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     out = clusters(fingerprinted(df, shingle, prints, doc_id, text), prints, radius)
     component = F.when(F.col("first.k") < LAST_ID, F.col("first.k")).alias("component_id")
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), component)
-
-
-def later_rows(df: DataFrame, shingle: int, prints: int, radius: int = RADIUS) -> DataFrame:
-    """(k, h) of the rows of ``df`` that aren't the first of their component."""
-    found = clusters(fingerprinted(df, shingle, prints), prints, radius)
-    k = F.coalesce("doc_id", F.lit(LAST_ID)).alias("k")
-    return found.where((k != F.col("first.k")) | (F.col("h") != F.col("first.h"))).select(k, "h").distinct()

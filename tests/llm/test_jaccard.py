@@ -1,0 +1,87 @@
+"""Near-duplicates by exact Jaccard similarity, against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as pipeline
+from coppice.llm import jaccard
+
+
+def plain_set(text: str | None, k: int = 5) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def plain_first(rows: list[tuple[int, str]]) -> set[int]:
+    sets = {i: plain_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            a, b = sets[i], sets[j]
+            if j < i and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in sets}
+
+
+def near_copies(seed: int) -> list[tuple[int, str]]:
+    """Texts of 1 to 300 words under a common notice, with copies of none to many changed words: similarities all around 0.8."""
+    rnd = random.Random(seed)
+    notice = " ".join(f"n{i}" for i in range(12))
+    out = []
+    for _ in range(50):
+        words = [f"w{rnd.randrange(900)}" for _ in range(rnd.choice([1, 3, 6, 20, 80, 300]))]
+        for changes in (0, *(rnd.randrange(0, 1 + max(1, len(words) // 20)) for _ in range(rnd.randrange(5)))):
+            own = list(words)
+            for _ in range(changes):
+                own[rnd.randrange(len(own))] = f"c{rnd.randrange(900)}"
+            out.append(notice + " " + " ".join(own) if rnd.random() < 0.5 else " ".join(own).upper())
+    return list(enumerate(rnd.sample(out, len(out))))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stage_finds_all_pairs_from_0_8(spark, seed):
+    rows = near_copies(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, df, "").collect()}
+    assert kept == plain_first(rows) and len(kept) < len(rows) - 20
+
+
+def test_threshold_is_exact(spark):
+    """Of ten shingles in the union, eight or nine are common: 0.8 links, a shingle fewer doesn't."""
+    base = [f"w{i}" for i in range(13)]  # nine shingles
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, " ".join([*base[:-2], "y", "z"]))]
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == {1, 3} == plain_first(rows)
+
+
+def test_prefixes_meet_under_any_order():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4, 5, 9, 10, 11, 57):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        known = np.sort(rng.choice(a, rng.integers(0, n + 1), replace=False))
+        times = rng.integers(3, 9, len(known))
+        for gone in range(n // 5 + 1):  # a subset of similarity 0.8 at least
+            b = np.sort(rng.choice(a, n - gone, replace=False))
+            common = np.intersect1d(jaccard.prefix(a, known, times), jaccard.prefix(b, known, times))
+            assert len(common) >= min(1 + len(b) // jaccard.MEET, -(-4 * len(b) // 5))
+
+
+def test_keys_of_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = [(r, 5, [1, 100 + r]) for r in range(7)] * 2 + [(50, 5, [2]), (51, 5, [3, 1]), (51, 5, [3, 1])]
+        got = jaccard.meetings(spark.createDataFrame(rows, "ref long, n long, keys array<long>").repartition(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == [(1, r, 5, 0) for r in range(7)] + [(1, 51, 5, 1)]

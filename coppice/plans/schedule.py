@@ -69,3 +69,65 @@ def memory_bytes(text: str) -> int:
     t = str(text).strip().lower().removesuffix("b")
     scale = {"k": 10, "m": 20, "g": 30, "t": 40}
     return int(float(t[:-1]) * (1 << scale[t[-1]])) if t and t[-1] in scale else int(t)
+
+
+@dataclass
+class Bins:
+    """``times`` bins in a row that are alike; in ``places``, (rows of a task, first rank, tasks a bin) of the tasks they hold."""
+
+    times: int
+    rows: int = 0
+    tasks: int = 0
+    places: list[tuple[int, int, int]] = field(default_factory=list)
+
+    def cut(self, at: int) -> tuple[Bins, Bins]:
+        """The first ``at`` bins and the others."""
+        later = [(n, first + at * each, each) for n, first, each in self.places]
+        return Bins(at, self.rows, self.tasks, list(self.places)), Bins(self.times - at, self.rows, self.tasks, later)
+
+    def add(self, n: int, first: int, each: int) -> None:
+        self.places.append((n, first, each))
+        self.rows += n * each
+        self.tasks += each
+
+
+def pack_counts(counts: dict[int, int], capacity: int, most_tasks: int = 1 << 31) -> list[tuple[int, int, int, int, int]]:
+    """``pack`` of ``counts[n]`` tasks of n rows each, without a row a task: (n, first rank, end rank, tasks a bin, first bin).
+
+    A task of n rows and of a rank among its equals is in bin ``first bin + (rank - first rank) // tasks a bin``.
+    """
+    bins: list[Bins] = []
+    opened = 0  # all before are full
+    for n in sorted(counts, reverse=True):
+        if n > capacity or most_tasks < 1:
+            raise ValueError(f"a task of {n} rows doesn't fit a bin of {capacity} rows and {most_tasks} tasks")
+        left, first, at = counts[n], 0, opened
+        while left:
+            if at == len(bins):
+                fit = min(capacity // n, most_tasks) if n else most_tasks
+                bins.append(Bins(-(-left // fit)))
+            b = bins[at]
+            fit = min((capacity - b.rows) // n if n else most_tasks, most_tasks - b.tasks)
+            if fit:
+                whole = min(left // fit, b.times)
+                parts = [x for x in b.cut(whole) if x.times]
+                if whole:
+                    parts[0].add(n, first, fit)
+                elif len(parts) and parts[-1].times > 1:
+                    parts = [*parts[-1].cut(1)]
+                if whole and whole < b.times and left > whole * fit:
+                    parts[1:] = [x for x in parts[1].cut(1) if x.times]
+                first, left = first + whole * fit, left - whole * fit
+                if left and whole < b.times:  # the rest goes into one more bin
+                    parts[1 if whole else 0].add(n, first, left)
+                    left = 0
+                bins[at : at + 1] = parts
+                at += len(parts) - 1
+            at += 1
+        while opened < len(bins) and bins[opened].tasks == most_tasks:
+            opened += 1
+    out, number = [], 0
+    for b in sorted(bins, key=lambda b: -b.rows):
+        out += [(n, first, first + each * b.times, each, number) for n, first, each in b.places]
+        number += b.times
+    return out

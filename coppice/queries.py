@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coppice.estimators import ClassificationModel, RegressionModel, train_classifier, train_regressor
 from coppice.functions.impurity import COLUMNS
 from coppice.operators import bagging, binning, metadata, search, splits
 from coppice.plans.grow import Strategy
-from coppice.plans.schedule import Task, pack
+from coppice.plans.schedule import pack_counts
 from coppice.plans.tree import Tree
 from coppice.sources import models
 
@@ -210,12 +210,33 @@ def bag_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' rows as tasks."""
-    sizes = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").count()
-    top = sizes.agg(F.max("count").alias("m")).first()["m"]
-    tasks = [Task(0, r["l_suppkey"], r["count"], 0.0) for r in sizes.orderBy("l_suppkey").limit(100_000).collect()]
-    bins = pack(tasks, 4 * top, 5)
-    return spark.createDataFrame([(i, t.node, int(t.rows)) for i, b in enumerate(bins) for t in b.tasks], "bin int, l_suppkey long, n long")
+    """All suppliers' rows as tasks."""
+    sizes = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return place_tasks(sizes)
+
+
+def place_tasks(sizes: DataFrame, a_part: int = 1_000_000) -> DataFrame:
+    """bin, l_suppkey, n of each (l_suppkey, n): bins of four times the largest n and five tasks, packed by the histogram of n.
+
+    A task finds its bin by its rank among those of its n, in order of l_suppkey, which is counted by parts of about
+    ``a_part`` tasks. Only counts come to the driver.
+    """
+    total = sizes.count()
+    parts = min(64, 1 + total // a_part)
+    bounds = sizes.agg(F.percentile_approx("l_suppkey", [i / parts for i in range(1, parts)])).first()[0] or [] if parts > 1 else []
+    part = sum((F.coalesce(F.col("l_suppkey") > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    sizes = sizes.withColumn("part", part)
+    ranks, counts = [], {}
+    for r in sizes.groupBy("n", "part").agg(F.count("*").alias("c")).orderBy("n", "part").collect():
+        ranks.append((r["n"], r["part"], counts.get(r["n"], 0)))
+        counts[r["n"]] = ranks[-1][2] + r["c"]
+    places = pack_counts(counts, 4 * max(counts, default=0), 5)
+    before = F.broadcast(sizes.sparkSession.createDataFrame(ranks, "n long, part int, before long"))
+    slots = F.broadcast(sizes.sparkSession.createDataFrame(places, "n long, first long, end long, each long, bin0 long"))
+    number = F.row_number().over(Window.partitionBy("n", "part").orderBy("l_suppkey")) - 1
+    ranked = sizes.withColumn("number", number).join(before, ["n", "part"]).withColumn("rank", F.col("before") + F.col("number"))
+    met = ranked.join(slots, "n").where("rank >= first AND rank < end")
+    return met.select(F.expr("CAST(bin0 + (rank - first) div each AS INT)").alias("bin"), "l_suppkey", "n")
 
 
 def _points(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:

@@ -1,8 +1,13 @@
 """Byte-level BPE ids of many texts at once.
 
 Texts are cut into pre-tokens with array operations over code points, each pre-token is looked up in a hash table of
-those seen before, and only new ones are merged. The result is that of the tokenizer file itself, special strings
-inside texts included; tests compare the two.
+those seen before, and only new ones are merged. A hit is taken only if the code points agree as well, so two pre-tokens
+of one hash are told apart. The result is that of the tokenizer file itself, special strings inside texts included;
+tests compare the two.
+
+Memory is bounded whatever the texts: the table holds ``KEPT`` pre-tokens of ``KEPT_POINTS`` code points in all (longer
+ones than ``LONG`` are merged where they stand and never kept), and a long text goes through in parts of ``PART`` code
+points, cut where a blank follows another sign, which no pre-token spans.
 """
 
 from __future__ import annotations
@@ -20,8 +25,11 @@ from coppice.llm.common import mix64, ranges
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 _END = 0x110000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Pre-tokens kept by a worker; beyond that, the table starts anew.
-KEPT = 1 << 21
+#: Pre-tokens kept by a worker, and their code points and ids in all; beyond that, the table starts anew.
+KEPT, KEPT_POINTS = 1 << 20, 1 << 24
+#: Code points of the longest pre-token that is kept, and of the parts of long texts.
+LONG, PART = 256, 1 << 20
+_BREAK = regex.compile(r"(?<=\S)\s")
 
 
 @lru_cache(1)
@@ -95,7 +103,9 @@ class ByteBpe:
         self.where = np.zeros(self.slots, np.int32)
         self.used = 0
         self.first = np.zeros(KEPT + 1, np.int64)  # ids of entry i: first[i] : first[i + 1]
-        self.ids = np.zeros(2 * KEPT, np.uint32)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.spelt = np.zeros(KEPT + 1, np.int64)  # code points of entry i: spelt[i] : spelt[i + 1]
+        self.points = np.zeros(1 << 16, np.uint32)
 
     def _probe(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, or -1."""
@@ -112,8 +122,8 @@ class ByteBpe:
             todo = todo[~hit & (found != 0)]
         return out
 
-    def _insert(self, keys: np.ndarray, own: list[list[int]]) -> None:
-        """New and different keys with their ids."""
+    def _insert(self, keys: np.ndarray, own: list[list[int]], points: np.ndarray, sizes: np.ndarray) -> None:
+        """New and different keys with their ids and code points."""
         n, mask = len(keys), self.slots - 1
         at, todo = (keys & np.uint64(mask)).astype(np.int64), np.arange(n)
         while len(todo):
@@ -124,27 +134,39 @@ class ByteBpe:
             todo = todo[self.keys[at[todo]] != keys[todo]]
             at[todo] = (at[todo] + 1) & mask
         flat = np.fromiter(chain.from_iterable(own), np.uint32)
-        a = int(self.first[self.used])
-        if a + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)])
-        self.ids[a : a + len(flat)] = flat
-        self.first[self.used + 1 : self.used + n + 1] = a + np.cumsum([len(x) for x in own])
+        self.ids = self._append(self.ids, self.first, flat, np.array([len(x) for x in own]))
+        self.points = self._append(self.points, self.spelt, points, sizes)
         self.used += n
 
+    def _append(self, store: np.ndarray, bounds: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        a = int(bounds[self.used])
+        if a + len(flat) > len(store):
+            store = np.concatenate([store, np.zeros(max(len(flat), len(store)), np.uint32)])
+        store[a : a + len(flat)] = flat
+        bounds[self.used + 1 : self.used + len(sizes) + 1] = a + np.cumsum(sizes)
+        return store
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
         pieces, owner, marks = [], [], []
         for i, t in enumerate(texts):
             if self.special and any(s in t for s in self.special):
                 for part in self.cutter.split(t):
-                    pieces.append("" if part in self.special else part)
-                    marks.append(self.special.get(part, -1))
-                    owner.append(i)
+                    if part in self.special:
+                        pieces.append("")
+                        marks.append(self.special[part])
+                        owner.append(i)
+                    else:
+                        for own in parts(part):
+                            pieces.append(own)
+                            marks.append(-1)
+                            owner.append(i)
             else:
-                pieces.append(t)
-                marks.append(-1)
-                owner.append(i)
-        ids, counts = self._ordinary(pieces)
+                for own in parts(t):
+                    pieces.append(own)
+                    marks.append(-1)
+                    owner.append(i)
+        ids, counts = self._in_turn(pieces)
         marks = np.array(marks, np.int64)
         owner = np.array(owner, np.int64)
         if (marks >= 0).any():
@@ -153,6 +175,36 @@ class ByteBpe:
             counts = counts + (marks >= 0)
         return ids, np.bincount(owner, counts, minlength=len(texts)).astype(np.int64)
 
+    def _in_turn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ordinary``, of at most about 2 PART code points at a time."""
+        ids, counts, a, size = [], [], 0, 0
+        for z, piece in enumerate(pieces, 1):
+            size += len(piece)
+            if size >= PART or z == len(pieces):
+                own = self._ordinary(pieces[a:z])
+                ids.append(own[0])
+                counts.append(own[1])
+                a, size = z, 0
+        if not ids:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return (ids[0], counts[0]) if len(ids) == 1 else (np.concatenate(ids), np.concatenate(counts))
+
+    def _known(self, keys: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry of each pre-token or -1, which have another's hash): a hit must be spelt alike."""
+        entry = self._probe(keys)
+        other = np.zeros(len(keys), bool)
+        hit = np.flatnonzero(entry >= 0)
+        kept = self.spelt[entry[hit] + 1] - self.spelt[entry[hit]]
+        other[hit[kept != size[hit]]] = True
+        hit = hit[kept == size[hit]]
+        if len(hit):
+            n = size[hit]
+            unlike = points[ranges(start[hit], n)] != self.points[ranges(self.spelt[entry[hit]], n)]
+            if unlike.any():
+                other[hit[np.logical_or.reduceat(unlike, np.cumsum(n) - n)]] = True
+        entry[other] = -1
+        return entry, other
+
     def _ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes + 1)
@@ -164,6 +216,7 @@ class ByteBpe:
         stop = np.append(start[1:], len(points))
         real = points[start] != _END
         start, stop = start[real], stop[real]
+        size = stop - start
         if len(self.up) <= len(points):
             self.up, self.down = _powers(2 * len(points))
         value = (points.astype(np.uint64) + np.uint64(1)) * _STEP
@@ -171,38 +224,57 @@ class ByteBpe:
         value *= self.up[: len(points)]
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(value, out=sums[1:])
-        keys = mix64((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64) * _STEP)
+        keys = mix64((sums[stop] - sums[start]) * self.down[start] + size.astype(np.uint64) * _STEP)
         keys[keys == 0] = 1
-        entry = self._probe(keys)
-        missing = np.flatnonzero(entry < 0)
+        entry, other = self._known(keys, points, start, size)
+        missing = np.flatnonzero((entry < 0) & ~other & (size <= LONG))
         if len(missing):
             _, one = np.unique(keys[missing], return_index=True)
             new = missing[one]
-            if self.used + len(new) > KEPT:
+            if self.used + len(new) > KEPT or self.spelt[self.used] + size[new].sum() > KEPT_POINTS:
                 self._reset()
-                if len(new) > KEPT // 2 and len(texts) > 1:  # too many for one table
-                    half = len(texts) // 2
-                    a, b = self._ordinary(texts[:half]), self._ordinary(texts[half:])
-                    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-                _, one = np.unique(keys, return_index=True)
-                new = one
-            if len(new) > KEPT:
-                return self._slow(points, start, stop, ends)
-            whole = points[ranges(start[new], stop[new] - start[new])].tobytes().decode("utf-32-le", "surrogatepass")
-            at = np.concatenate([[0], np.cumsum(stop[new] - start[new])]).tolist()
-            piece = self.piece
-            self._insert(keys[new], [piece(whole[a:b].encode()) for a, b in zip(at, at[1:])])
-            entry = self._probe(keys)
-        a, length = self.first[entry], self.first[entry + 1] - self.first[entry]
-        ids = self.ids[ranges(a, length)]
+                entry[:], other[:] = -1, False
+                short = np.flatnonzero(size <= LONG)
+                _, one = np.unique(keys[short], return_index=True)
+                new = short[one]
+                fits = (np.arange(1, len(new) + 1) <= KEPT) & (np.cumsum(size[new]) <= KEPT_POINTS)  # the rest is merged where it stands
+                new = new[fits]
+            spelt = points[ranges(start[new], size[new])]
+            self._insert(keys[new], self._merged(spelt, size[new]), spelt, size[new])
+            entry, _ = self._known(keys, points, start, size)
+        alone = np.flatnonzero(entry < 0)
+        first, length = self.first[np.maximum(entry, 0)], self.first[np.maximum(entry, 0) + 1] - self.first[np.maximum(entry, 0)]
+        if len(alone):
+            merged = self._merged(points[ranges(start[alone], size[alone])], size[alone])
+            length[alone] = [len(x) for x in merged]
+            ids = np.empty(int(length.sum()), np.uint32)
+            at = np.cumsum(length) - length
+            ids[ranges(at[alone], length[alone])] = np.fromiter(chain.from_iterable(merged), np.uint32)
+            kept = np.flatnonzero(entry >= 0)
+            ids[ranges(at[kept], length[kept])] = self.ids[ranges(first[kept], length[kept])]
+        else:
+            ids = self.ids[ranges(first, length)]
         owner = np.searchsorted(ends, start, side="right")
         return ids, np.bincount(owner, length, minlength=len(texts)).astype(np.int64)
 
-    def _slow(self, points: np.ndarray, start: np.ndarray, stop: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One text with more different pre-tokens than the table holds: each is merged on its own."""
-        own = [self.piece(points[a:b].tobytes().decode("utf-32-le").encode()) for a, b in zip(start.tolist(), stop.tolist())]
-        counts = np.bincount(np.searchsorted(ends, start, side="right"), [len(x) for x in own], minlength=len(ends))
-        return np.array([i for x in own for i in x], np.uint32), counts.astype(np.int64)
+    def _merged(self, points: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """Ids of pre-tokens, each merged on its own."""
+        whole = points.tobytes().decode("utf-32-le", "surrogatepass")
+        at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        piece = self.piece
+        return [piece(whole[a:b].encode()) for a, b in zip(at, at[1:])]
+
+
+def parts(text: str):
+    """A text in parts of PART code points or more, each of which starts at a blank after another sign."""
+    at = 0
+    while len(text) - at > PART:
+        found = _BREAK.search(text, at + PART)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 _loaded: dict[str, ByteBpe] = {}

@@ -16,21 +16,21 @@ LAST_ID = 2**63 - 1
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a local master gets a temporary one, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if root is None:
-        known = context._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="coppice-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(root)
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="coppice-")
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for small tables only."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders written by ``stored`` and not yet deleted.
+_written: set[str] = set()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -38,11 +38,37 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/coppice-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
+        _written.discard(df._stored_at)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes every folder that this process's operators have stored so far; results that still read one end there, so write them first."""
+    for path in _written:
+        _delete(spark, path)
+    _written.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(df: DataFrame) -> int:
-    """Number of shuffle partitions that follows the input: at least the session's own setting."""
+    """Number of shuffle partitions that follows the input: at least the session's own setting.
+
+    For tables as they are read or stored: on a plan with shuffles the count itself would run them.
+    """
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 

@@ -6,8 +6,12 @@ with the longest length that fits, then its smallest piece gives way to the two
 gap best, and the bin is repeated as often as the counts allow. Pieces find their places by their rank among those of
 their length, so no task ever holds more than a batch of rows.
 
-Defined cases: a null text is the empty text (its one piece is the closing id); repeated rows are packed each; an
-empty table gives no rows; null ids stay null.
+Pieces of full capacity are a sequence each, numbered downwards from -1, and are never shuffled. Ranks of the others are
+counted by (length, salt), the number of salts following that of the pieces.
+
+Defined cases: a null text is the empty text (its one piece is the closing id); texts of any length are tokenised whole
+and cut; repeated rows are packed each; an empty table gives no rows; null ids stay null; other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ from pyspark.sql import types as T
 from coppice.llm.bytebpe import coder
 from coppice.llm.common import partitions, picked, stored
 
-CAPACITY, SALT = 2048, 64
+CAPACITY = 2048
+#: Salts of a length: one for so many pieces, within bounds (the driver gets capacity x salts counts at most).
+A_SALT, LEAST_SALTS, MOST_SALTS = 1_000_000, 64, 1024
 
 PIECES = T.StructType(
     [
@@ -147,11 +153,14 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: i
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to stored pieces (columns of PIECES, perhaps more)."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALT)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
-    counted = np.zeros((capacity + 1, SALT), np.int64)  # at most capacity x SALT rows come to the driver
-    for r in salted.groupBy("length", "_salt").count().collect():
-        counted[r["length"], r["_salt"]] = r["count"]
+    whole = pieces.where(F.col("length") == capacity)
+    numbered = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    shorter = pieces.where(F.col("length") < capacity)
+    salts = int(min(MOST_SALTS, max(LEAST_SALTS, shorter.count() // A_SALT)))
+    salted = shorter.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counted = np.zeros((capacity + 1, salts), np.int64)
+    counts = salted.groupBy("length", "_salt").count().toArrow()
+    counted[counts["length"].to_numpy(), counts["_salt"].to_numpy()] = counts["count"].to_numpy()
     bins = best_two_fit({n: int(c) for n, c in enumerate(counted.sum(1)) if c}, capacity)
     rank = np.cumsum(counted, 1) - counted
     slots, sequence = [], 0
@@ -201,7 +210,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return low
 
     n = partitions(pieces)
-    return salted.repartition(n, "length", "_salt").sortWithinPartitions("length", "_salt", "doc_id", "piece").mapInArrow(assign, schema)
+    placed = salted.repartition(n, "length", "_salt").sortWithinPartitions("length", "_salt", "doc_id", "piece").mapInArrow(assign, schema)
+    return placed.union(numbered)
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -1,23 +1,33 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Equal fingerprints collapse to one row first, however many documents share one. Distinct fingerprints are laid out in
-blocks without which the table would have to be scanned for every row: 64 bits are cut into ``segments`` parts, and two
-fingerprints that differ in at most ``radius`` bits agree in at least ``segments - radius`` parts, so every link lies in
-a block of equal part values. Within a block, each fingerprint has a table row of its Hamming distances to the rows of a
-Hadamard code as reference fingerprints; a pair whose coordinates differ by more than the radius anywhere can't be a
-link (triangle inequality) and is discarded; survivors are verified bit by bit. No link is lost.
-
-A block gives a spanning forest of its links, never its pairs. Blocks of more than ``TILE`` rows are cut into tiles
-that are compared two by two in tasks of their own. Components come from alternating large-star and small-star steps on
-the executors, checkpointed each round.
-
-Defined cases: a text without words has fingerprint zero and links like any other; null text as empty; repeated rows
-are documents of one fingerprint; a null doc_id takes part and counts as larger than any other; an empty table gives
-no rows.
+Rows with equal fingerprints (or equal sets of shingles) collapse to one first, however many documents share one. The
+others are laid out in blocks, without which the table would have to be scanned for every row; a pair counts if it
+meets in a block. Within a block, each fingerprint has a table row of its Hamming distances to the rows of a Hadamard
+code as reference fingerprints; a pair whose coordinates differ by more than the radius anywhere can't be a link
+(triangle inequality) and is discarded; survivors are verified.
+
+* ``near_duplicates`` links fingerprints within a small radius and loses no link: 64 bits are cut into parts, and two
+  fingerprints that differ in at most ``radius`` bits agree in all but ``radius`` parts, so every link lies in a block of
+  equal part values. A survivor is verified bit by bit, and a block gives a spanning forest of its links, never its pairs.
+* ``similar_rows`` links sets of word shingles by their Jaccard similarity. Its blocks are bands of a longer print (the
+  majority bits of the set's hashes under many mixings): at similarity ``least`` two sets agree in each bit with a known
+  probability, and there are as many bands as it takes to meet in one with probability ``RECALL``; more similar pairs meet
+  all but surely. Survivors of the table are verified by the exact similarity of the whole sets, first each row against
+  the first of its block only, then all pairs that aren't connected yet, so that a large family of near copies isn't
+  compared pair by pair.
+
+Blocks of more than ``TILE`` rows are cut into tiles that are compared two by two in tasks of their own. Components come
+from alternating large-star and small-star steps on the executors, stored each round.
+
+Defined cases: a text without words has fingerprint zero (an empty set) and links like any other; null text as empty;
+texts of any length are read whole; repeated rows are documents of one fingerprint; a null doc_id takes part and counts
+as larger than any other; other columns, whatever their names, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.common import LAST_ID, checkpointed, join_with_hot_keys, mix64, partitions, picked, release, stored, text_buffers
+from coppice.llm.common import discard, join_with_hot_keys, mix64, partitions, picked, release, stored, text_buffers
 
 SHINGLE, RADIUS = 4, 4
+#: Of similar_rows: words of a shingle, least similarity, probability to meet a pair at just that similarity, and the radius on
+#: the first 64 bits (such a pair differs there in 9.7 bits, +- 2.9).
+WORDS, LEAST, RECALL, WIDE = 5, (4, 5), 0.95, 18
+#: Bits of a band: so many at least, or so many fewer than the rows' number has.
+BAND_BITS, BAND_SHORT = 16, 2
 TILE = 4096
 #: Pairs looked at together.
 STEP = 1 << 18
+BUCKETS = 1 << 22
 
 
 def _pivots() -> np.ndarray:
@@ -47,47 +63,56 @@ PIVOTS = _pivots()
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def simhashes(text: bytes, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
-    """Majority bits of the XXH64 (seed 42) of all word shingles of a text, A-Z lower-cased; 0 without words.
-
-    Further prints take the majority of the hashes mixed with a number of their own.
-    """
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of all word shingles of a text in order, A-Z lower-cased."""
     words = text.lower().split()
     if not words:
-        return [0] * prints
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
     ends = [*gaps[shingle - 1 : shingle + n - 2].tolist(), len(line)] if n > 1 else [len(line)]
     digest = xxhash.xxh64_intdigest
-    total = np.zeros((prints, 64), np.int64)
-    for a in range(0, n, 1 << 16):
-        h = np.array([digest(line[s:e], 42) for s, e in zip(starts[a : a + (1 << 16)], ends[a : a + (1 << 16)])], np.uint64)
-        for t in range(prints):
-            own = mix64(h ^ np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if t else h
-            cells = own.view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(8) * 256
-            count = np.bincount(cells.ravel(), minlength=2048).reshape(8, 256)
-            total[t] += (count @ _BITS).ravel()
-    ones = (total * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)
-    return ones.sum(1, dtype=np.uint64).tolist()
-
-
-def fingerprinted(df: DataFrame, shingle: int = SHINGLE, prints: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h (a digest of the text that tells rows of one id apart) and fps (each print's 64 bits as long), stored."""
+    return np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends)), np.uint64, n)
+
+
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority bits of the hashes of all word shingles, repeats included; 0 without words."""
+    h = _hashes(text, shingle)
+    total = np.zeros((8, 256), np.int64)
+    for a in range(0, len(h), 1 << 16):
+        cells = h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(8) * 256
+        total += np.bincount(cells.ravel(), minlength=2048).reshape(8, 256)
+    ones = ((total @ _BITS).ravel() * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)
+    return int(ones.sum(dtype=np.uint64))
+
+
+def long_print(own: np.ndarray, words: int) -> np.ndarray:
+    """64 x ``words`` majority bits of a set of hashes, each 64 of them under another mixing; ties fall to the first hash."""
+    mixings = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total, first = np.zeros(64 * words, np.int64), np.zeros(64 * words, np.uint8)
+    for a in range(0, len(own), 4096):
+        h = mix64(own[a : a + 4096, None] ^ mixings[None, :])
+        bits = np.unpackbits(h.view(np.uint8), axis=1)
+        total += bits.sum(0, dtype=np.int64)
+        first = bits[0] if a == 0 else first
+    return 2 * total + first > len(own)
+
+
+def fingerprinted(df: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and fp (64 bits as long), stored."""
     docs = picked(df, doc_id=(doc_id, T.LongType()), text=(text, T.StringType()))
-    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
 
     def run(batches):
         for batch in batches:
-            raw, at = text_buffers(batch.column(2))
+            raw, at = text_buffers(batch.column(1))
             whole, at = raw.tobytes(), at.tolist()
-            fps = np.array([simhashes(whole[a:b], shingle, prints) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * prints, pa.int32()), pa.array(fps.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "h", "fps"])
+            fps = np.array([simhash(whole[a:b], shingle) for a, b in zip(at, at[1:])], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
         release()
 
-    return stored(docs.mapInArrow(run, "doc_id long, h long, fps array<long>"))
+    return stored(docs.mapInArrow(run, "doc_id long, fp long"))
 
 
 def blocking(n: int, radius: int = RADIUS) -> tuple[int, int]:
@@ -110,24 +135,26 @@ def masks(parts: int, agree: int) -> list[int]:
     return [sum(own[i] for i in chosen) for chosen in combinations(range(parts), agree)]
 
 
-def linked(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b) of rows that link; ``x``, ``y``: distance tables of the rows."""
+def linked(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, fp: np.ndarray, radius: int, of_a: np.ndarray | None = None, of_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of table rows that link; ``x``, ``y``: distance tables; ``of_a``, ``of_b``: where their rows stand in ``fp``, if elsewhere."""
     for step in range(0, 64, 16):  # most pairs go at the first coordinates
         near = np.abs(x[a, step : step + 16] - y[b, step : step + 16]).max(1, initial=0) <= radius
         a, b = a[near], b[near]
-    sure = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+    p, q = (fp[a], fp[b]) if of_a is None else (fp[of_a[a]], fp[of_b[b]])
+    sure = np.bitwise_count(p ^ q) <= radius
     return a[sure], b[sure]
 
 
-def forest(fp: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) that span each block: a block is rows first..first+size of ``fp``.
+def forest(fp: np.ndarray, root: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray, radius: int, tree: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row) of each block within the radius and of different roots: a block is rows first..first+size of ``fp``.
 
-    ``other`` is 0 for a whole block, else the number of rows of its first tile: only pairs across tiles count then.
+    With ``tree``, only as many as span what they connect. ``other`` is 0 for a whole block, else the number of rows of
+    its first tile: only pairs across tiles count then.
     """
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     parent = np.arange(len(fp))
 
-    def root(i: int) -> int:
+    def top(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
@@ -136,13 +163,18 @@ def forest(fp: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarra
     out_a, out_b = [], []
 
     def take(a: np.ndarray, b: np.ndarray) -> None:
-        a, b = linked(a, b, table, table, fp, radius)
+        apart = root[a] != root[b]
+        a, b = linked(a[apart], b[apart], table, table, fp, radius)
+        if not tree:
+            out_a.append(a)
+            out_b.append(b)
+            return
         for p, q in zip(a.tolist(), b.tolist()):
-            r, s = root(p), root(q)
+            r, s = top(p), top(q)
             if r != s:
                 parent[max(r, s)] = min(r, s)
-                out_a.append(p)
-                out_b.append(q)
+                out_a.append([p])
+                out_b.append([q])
 
     small = np.flatnonzero((size <= 64) & (other == 0))
     for n in np.unique(size[small]).tolist():
@@ -162,25 +194,23 @@ def forest(fp: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarra
             p, q = np.repeat(a, len(b)), np.tile(b, len(a))
             keep = p < q
             take(p[keep], q[keep])
-    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (out_a, out_b))
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that connect every two of the ``n`` distinct fingerprints (``fp``) within the radius, perhaps through others."""
-    parts, agree = blocking(n, radius)
-    choices = masks(parts, agree)
-    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "key")
-    rows = distinct.select("fp", keys)
-    crowded = rows.groupBy("choice", "key").count().where(F.col("count") > 1)
-    rows = rows.join(crowded, ["choice", "key"])
-    tiles = F.ceil(F.col("count") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
+def in_blocks(rows: DataFrame, m: int, radius: int, tree: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in a block and survive: ``rows`` has choice, key (the block), node, fp, root.
+
+    ``m``: partitions. Blocks of one root give nothing and are left out before their rows are sent.
+    """
+    crowded = rows.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    rows = rows.join(crowded.select("choice", "key", "n"), ["choice", "key"])
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     lower = lambda t: F.struct(F.least(t, F.col("own")).alias("ti"), F.greatest(t, F.col("own")).alias("tj"))
     spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lower)).alias("t")
-    rows = rows.withColumn("tiles", tiles).withColumn("own", own).select("choice", "key", spread, "own", "fp")
-    rows = rows.select("choice", "key", "t.ti", "t.tj", "own", "fp")
+    rows = rows.withColumn("tiles", tiles).withColumn("own", own).select("choice", "key", spread, "own", "node", "fp", "root")
     group = ["choice", "key", "ti", "tj"]
+    rows = rows.select("choice", "key", "t.ti", "t.tj", "own", "node", "fp", "root")
 
     def run(batches):
         held = None
@@ -193,9 +223,9 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             cut = len(frame) - int(last.sum())
             held = frame.iloc[cut:]
             if cut:
-                yield found(frame.iloc[:cut])
+                yield from found(frame.iloc[:cut])
         if held is not None and len(held):
-            yield found(held)
+            yield from found(held)
         release()
 
     def found(frame):
@@ -206,65 +236,208 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         size = np.diff(np.append(first, len(frame)))
         across = values[2][first] != values[3][first]
         left = np.add.reduceat((frame["own"].to_numpy() == values[2]).astype(np.int64), first)
-        fp = frame["fp"].to_numpy().view(np.uint64)
+        fp, root, node = frame["fp"].to_numpy().view(np.uint64), frame["root"].to_numpy(), frame["node"].to_numpy()
         keep = ~across | ((left > 0) & (left < size))
-        a, b = forest(fp, first[keep], size[keep], np.where(across, left, 0)[keep], radius)
-        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
+        a, b = forest(fp, root, first[keep], size[keep], np.where(across, left, 0)[keep], radius, tree)
+        lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        for at in range(0, len(lo), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(lo[at : at + (1 << 16)]), pa.array(hi[at : at + (1 << 16)])], names=["a", "b"])
 
-    m = partitions(rows)
     ordered = rows.repartition(m, *group).sortWithinPartitions(*group, "own")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that connect every two of the ``n`` distinct fingerprints (``fp``) within the radius, perhaps through others."""
+    parts, agree = blocking(n, radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(parts, agree)]
+    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("choice", "key")
+    rows = distinct.select("fp", keys).select("choice", "key", F.col("fp").alias("node"), "fp", F.col("fp").alias("root"))
+    return in_blocks(rows, partitions(distinct), radius, tree=True)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node with an edge (a, b) but the roots themselves: root is a component's smallest node. Star contraction.
+    """(node, root) of every node with an edge (a, b) but the roots themselves, stored: root is a component's smallest node.
 
-    Nodes are longs whose order decides which is smallest.
+    Nodes are longs whose order decides which is smallest. Each round joins every node's larger neighbours and then its
+    smaller ones to the least neighbour; it ends when no edge moves.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct().select("u", "v", F.lit(True).alias("moved")))
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if now.where("moved").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small_least, "u")
-        small = moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = checkpointed(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
-        done = now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+        large = large.groupBy("u", "v").agg(F.max("moved").alias("moved"))
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.max("moved").alias("moved"))
+        small = large.select("u", "v").join(small_least.select("u", "m"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        after = small.unionByName(small_least.select("u", F.col("m").alias("v"), "moved"))
+        after = stored(after.groupBy("u", "v").agg(F.max("moved").alias("moved")))
+        discard(now)
         now = after
-        if done:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError("components didn't settle")
 
 
-def clusters(prints: DataFrame, count: int = 1, radius: int = RADIUS) -> DataFrame:
-    """Adds ``first`` (k, h), the first row reachable, to stored (doc_id, h, fps): links are within the radius in any of ``count`` prints.
+def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable; null if only null ids are)."""
+    prints = fingerprinted(df, shingle, doc_id, text)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    distinct = stored(prints.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("_n")))
+    edges = stored(links(distinct.select("fp"), distinct.count(), radius))
+    roots = components(edges)
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "_n", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("first"))
+    labels = stored(named.drop("first").join(smallest, "root").select("fp", F.col("first.doc_id").alias("component_id"), "_n"))
+    discard(distinct, edges)
+    out = join_with_hot_keys(prints, labels, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
-    k is the id, or the largest long for a null one.
+def bands(n: int, least: tuple[int, int] = LEAST, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a band, bands) for ``n`` rows: two sets of similarity ``least`` share a band with probability ``recall``.
+
+    Such sets have a cosine of 2 t / (1 + t), t the similarity, and agree in a majority bit with 1 - angle / pi.
     """
-    row = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), "h")
-    distinct = checkpointed(prints.groupBy("fps").agg(F.min(row).alias("first"), F.count("*").alias("_n")).withColumn("node", F.get("fps", F.lit(0)) if count == 1 else F.xxhash64("fps")))
-    edges = None
-    for t in range(count):
-        own = distinct.select(F.get("fps", F.lit(t)).alias("fp"), "node")
-        found = links(own.select("fp").distinct(), distinct.count(), radius)
-        if count > 1:  # a fingerprint of one print is a node of its own beside the documents' nodes
-            named = own.select(F.xxhash64(F.lit(t), "fp").alias("a"), F.col("node").alias("b"))
-            found = checkpointed(found.select(F.xxhash64(F.lit(t), "a").alias("a"), F.xxhash64(F.lit(t), "b").alias("b")))
-            shared = named.groupBy("a").count().where("count > 1").select("a").union(found.select("a")).union(found.select("b")).distinct()
-            found = found.union(named.join(shared, "a").select("a", "b"))
-        edges = found if edges is None else edges.union(found)
-    roots = components(checkpointed(edges))
-    named = distinct.join(roots, "node", "left").select("fps", "first", "_n", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("first"))
-    labels = stored(named.drop("first").join(smallest, "root").select("fps", "first", "_n"))
-    return join_with_hot_keys(prints, labels, "fps")
+    t = least[0] / least[1]
+    agree = 1 - math.acos(min(1.0, 2 * t / (1 + t))) / math.pi
+    bits = min(48, max(BAND_BITS, math.ceil(math.log2(max(2, n))) - BAND_SHORT))
+    return bits, 1 if agree == 1 else math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+
+
+def _texts(batch: pa.RecordBatch, rows: np.ndarray | None = None):
+    raw, at = text_buffers(batch.column(batch.schema.get_field_index("text")))
+    whole, at = raw.tobytes(), at.tolist()
+    for i in range(batch.num_rows) if rows is None else rows.tolist():
+        yield whole[at[i] : at[i + 1]]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
+
+def described(docs: DataFrame, shingle: int, bits: int, count: int) -> DataFrame:
+    """none, k, h (the row), d1, d2 (a 128-bit digest of its set of shingles), n (the set's size), fp and keys (its bands), stored."""
+    words = -(-bits * count // 64)
+
+    def run(batches):
+        for batch in batches:
+            digests, sizes, fps, keys = [], [], [], []
+            for text in _texts(batch):
+                own = np.unique(_hashes(text, shingle))
+                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                sizes.append(len(own))
+                long = long_print(own, words)
+                fps.append(np.packbits(long[:64]).view(np.uint64))
+                each = np.zeros((count, 64), bool)
+                each[:, 64 - bits :] = long[: bits * count].reshape(count, bits)
+                keys.append(np.packbits(each, axis=1).view(">u8").ravel().astype(np.uint64))
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            fp = np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64)
+            columns = [batch.column(i) for i in range(3)]
+            columns += [pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(sizes, pa.int64()), pa.array(fp), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["none", "k", "h", "d1", "d2", "n", "fp", "keys"])
+        release()
+
+    return stored(docs.select("none", "k", "h", "text").mapInArrow(run, "none boolean, k long, h long, d1 long, d2 long, n long, fp long, keys array<long>"))
+
+
+def against_the_first(rows: DataFrame, m: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of each block's smallest node and its others that survive; ``rows`` has choice, key, node, fp. Blocks are streamed."""
+
+    def run(batches):
+        last = None  # choice, key, node, fp of the block that goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.array([c.to_numpy().astype(np.int64) for c in batch.columns])
+            if last is not None:
+                cells = np.concatenate([last, cells], 1)
+            new = np.ones(cells.shape[1], bool)
+            new[1:] = (cells[:2, 1:] != cells[:2, :-1]).any(0)
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            rest = np.flatnonzero(~new)
+            last = cells[:, head[-1:]]
+            if len(rest):
+                fp = cells[3].view(np.uint64)
+                a, b = head[rest], rest
+                own, a_row = np.unique(a, return_inverse=True)
+                x, y = (np.bitwise_count(fp[i][:, None] ^ PIVOTS[None, :]).astype(np.int8) for i in (own, b))
+                at = np.arange(len(b))
+                i, j = linked(a_row, at, x, y, fp, radius, own, b)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[2][own[i]]), pa.array(cells[2][b[j]])], names=["a", "b"])
+        release()
+
+    ordered = rows.select("choice", "key", "node", "fp").repartition(m, "choice", "key").sortWithinPartitions("choice", "key", "node")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, prints: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits, of the first print), component_id."""
-    out = clusters(fingerprinted(df, shingle, prints, doc_id, text), prints, radius)
-    component = F.when(F.col("first.k") < LAST_ID, F.col("first.k")).alias("component_id")
-    return out.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), component)
+def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, own) of the sets of the rows ``wanted`` (none, k, h, node), stored. Other texts are passed over by a table of bits, not shuffled."""
+    bucket = F.pmod("h", F.lit(BUCKETS))
+    words = np.zeros(BUCKETS // 64, np.int64)  # at most that many rows come to the driver
+    found = wanted.select(bucket.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits")).toArrow()
+    words[found["w"].to_numpy()] = found["bits"].to_numpy()
+    bits = words.view(np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            b = np.mod(batch.column(2).to_numpy(), BUCKETS)
+            rows = np.flatnonzero(bits[b // 64] >> (b % 64).astype(np.uint64) & np.uint64(1))
+            own = [np.unique(_hashes(text, shingle)) for text in _texts(batch, rows)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(3)), _lists(own)], names=["none", "k", "h", "own"])
+        release()
+
+    sets = docs.select("none", "k", "h", "text").mapInArrow(run, "none boolean, k long, h long, own array<long>")
+    return stored(sets.join(wanted, ["none", "k", "h"]).dropDuplicates(["node"]).select("node", "own"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough, stored; ``nodes``: node, none, k, h, n (size). Sizes alone rule some out."""
+    up, down = least
+    size = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
+    pairs = stored(sized.select("a", "b"))
+    wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes, "node").select("none", "k", "h", "node"))
+    sets = whole_sets(docs, wanted, shingle)
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    out = stored(met.where(common * (up + down) >= (F.size("x") + F.size("y")) * up).select("a", "b"))
+    discard(pairs, wanted, sets)
+    return out
+
+
+def similar_rows(df: DataFrame, shingle: int = WORDS, least: tuple[int, int] = LEAST, recall: float = RECALL, radius: int = WIDE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(none, k, h) of the rows that aren't the first of their component: whether the id is null, the id (or 0), a digest of the text.
+
+    Documents link from a Jaccard similarity of ``least`` (a fraction) in their sets of word shingles; the first of a
+    component is the row of the smallest id (null last), then digest.
+    """
+    docs = picked(df, doc_id=(doc_id, T.LongType()), text=(text, T.StringType()))
+    docs = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
+    bits, count = bands(docs.count(), least, recall)
+    rows = described(docs, shingle, bits, count)
+    m = partitions(rows)
+    equal = stored(rows.groupBy("d1", "d2").agg(F.min(F.struct("none", "k", "h")).alias("first"), F.count("*").alias("_n")))
+    firsts = equal.select("d1", "d2", "first.none", "first.k", "first.h")
+    nodes = rows.join(firsts, ["d1", "d2", "none", "k", "h"]).dropDuplicates(["d1", "d2"])
+    nodes = stored(stored(nodes).withColumn("node", F.monotonically_increasing_id()))  # as written, rows keep their numbers
+    laid = nodes.select(F.posexplode("keys").alias("choice", "key"), "node", "fp")
+    near = verified(docs, against_the_first(laid, m, radius), nodes, shingle, least)
+    roots = components(near)
+    rooted = laid.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = verified(docs, in_blocks(rooted, m, radius, tree=False), nodes, shingle, least)
+    roots = components(near.union(more))
+    named = nodes.select("node", "d1", "d2", "none", "k", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min(F.struct("none", "k", "h")).alias("first"))
+    labels = stored(named.select("root", "d1", "d2").join(smallest, "root").select("d1", "d2", "first").join(equal.select("d1", "d2", "_n"), ["d1", "d2"]).select(F.struct("d1", "d2").alias("d"), "first", "_n"))
+    found = join_with_hot_keys(rows.select("none", "k", "h", F.struct("d1", "d2").alias("d")), labels, "d")
+    gone = stored(found.where(F.struct("none", "k", "h") != F.col("first")).select("none", "k", "h").distinct())
+    discard(rows, equal, nodes, near, more, labels)
+    return gone
+
+
+def row_key(doc_id, text) -> tuple:
+    """none, k, h of a row."""
+    return doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("k"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("h")

@@ -4,10 +4,11 @@ Offline, the vocabulary is examined once: no piece spans a word start (a blank m
 tokens are those of its blank-led pre-tokens, each encoded alone; the line break occurs in no piece, so it never merges
 and ends a pre-token as well. Each blank-led vocabulary string is then encoded
 alone, and those proven to give exactly one token form the shortcut set. At run time a pre-token of that set counts
-one; only the rest is merged (and remembered, up to ``KEPT`` of them).
+one; only the rest is merged, and remembered: up to ``KEPT`` of at most ``LONG`` signs, so that memory is bounded.
 
 Defined cases: a null text is empty and has 0 bytes and 0 tokens; repeated rows are counted each; texts of any length
-are counted whole; an empty table gives no rows. Special strings inside texts are ordinary text, the library's default.
+are counted whole; an empty table gives no rows; other columns, whatever their names, play no part. Special strings
+inside texts are ordinary text, the library's default.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from coppice.llm.common import picked
 
 BLANK = "▁"
 LIMIT = 4096
-KEPT = 1 << 20
+#: Pre-tokens remembered by a worker (beyond that, it starts anew), and the length of the longest that is.
+KEPT, LONG = 1 << 19, 64
 
 
 class WholeTokens:
@@ -68,9 +70,10 @@ class WholeTokens:
         if None in counts:
             new = self._merged(list({k for k, c in zip(keys, counts) if c is None}))
             counts = [new[k] if c is None else c for k, c in zip(keys, counts)]
-            if len(self.kept) + len(new) > KEPT:
+            short = {k: n for k, n in new.items() if len(k) <= LONG}
+            if len(self.kept) + len(short) > KEPT:
                 self._anew()
-            self.kept.update(new if len(new) <= KEPT else {})
+            self.kept.update(short if len(self.kept) + len(short) <= KEPT else {})
         return sum(counts)
 
 

@@ -110,6 +110,49 @@ def test_byte_bpe_table_starts_anew(monkeypatch, corpus):
     assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == list(map(len, want))
 
 
+def thue_morse(n: int) -> str:
+    """A word of 2^n letters; it and its complement have one value under every polynomial hash modulo 2^64."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    library = Tokenizer.from_file(BPE)
+    for longest in (256, 1 << 14):
+        monkeypatch.setattr("coppice.llm.bytebpe.LONG", longest)
+        own = ByteBpe(BPE)
+        for n in (10, 11, 12, 13):
+            word = thue_morse(n)
+            other = word.translate(str.maketrans("ab", "ba"))
+            for texts in ([word, other], [other + " " + word, word], [other]):
+                ids, _ = own.encode(texts)
+                assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_long_pretokens_take_no_memory():
+    own = ByteBpe(BPE)
+    rnd = random.Random(9)
+    for _ in range(100):
+        own.encode([" ".join("".join(rnd.choices("abcdefgh", k=10)) * 1000 for _ in range(10))])
+    assert own.used < 50 and own.ids.nbytes + own.points.nbytes < 1 << 20
+    whole = tokens.WholeTokens(SP)
+    before = len(whole.kept)
+    for _ in range(50):
+        assert whole.tokens("".join(rnd.choices("abcdefgh", k=1000))) > 1
+    assert len(whole.kept) == before
+
+
+def test_long_texts_go_in_parts(monkeypatch):
+    monkeypatch.setattr("coppice.llm.bytebpe.PART", 50)
+    library, own, rnd = Tokenizer.from_file(BPE), ByteBpe(BPE), random.Random(10)
+    texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(900))) for _ in range(100)] + ["x" * 400, "a<|endoftext|>b " * 40]
+    ids, counts = own.encode(texts)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == list(map(len, want))
+
+
 def test_token_counts_equal_the_library(spark, docs, corpus, odd, empty):
     model = sentencepiece.SentencePieceProcessor(model_file=SP)
     whole = tokens.WholeTokens(SP)

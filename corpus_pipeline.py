@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages: each takes the documents that the one before kept.
 
 1. ``language_id``: documents without a recognisable language (no text, no letter) go.
-2. ``near_duplicates``: documents of a Jaccard similarity of 0.8 or more in five-word shingles link; of each group the document
-   of the smallest id stays.
+2. ``near_duplicates``: documents of a Jaccard similarity of 0.8 or more in five-word shingles link (found by SimHash, verified);
+   of each group the document of the smallest id stays.
 3. ``suffix_dedup``: strings of 100 bytes that occur earlier are cut out; documents left without text go.
 4. ``mixing``: documents are repeated or left out so that sources come near their target weights.
 5. ``packing``: the mix is tokenised and packed into sequences of 2,048 tokens; the rows are the placed pieces.
@@ -19,10 +19,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coppice.llm import jaccard, langid, mixing, packing, suffixes
-from coppice.llm.common import LAST_ID, stored
+from coppice.llm import langid, mixing, packing, simhash, suffixes
+from coppice.llm.common import stored
 
-SHINGLE, LEAST = 5, (4, 5)
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -48,13 +47,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @over_plain_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles; documents link from an exact Jaccard similarity of 0.8."""
-    gone = jaccard.later_rows(docs, SHINGLE, LEAST)
-    k, h = F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
-    kept = docs.select("*", k, h).join(gone, ["k", "h"], "left_anti")
+    """Five-word shingles; documents link from a Jaccard similarity of 0.8. Of rows of one id with equal text one stays."""
+    gone = simhash.similar_rows(docs)
+    keyed = docs.select("*", *simhash.row_key(F.col("doc_id"), F.col("text")))
+    kept = keyed.join(gone, ["none", "k", "h"], "left_anti")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept.select(*docs.columns)
-    twin = Window.partitionBy("k", "h").orderBy("h")  # ids repeat: of equal texts of one id one row stays
+    twin = Window.partitionBy("none", "k", "h").orderBy("h")
     return kept.withColumn("i", F.row_number().over(twin)).where("i = 1").select(*docs.columns)
 
 

@@ -1,17 +1,20 @@
 """Language identification by cross-parsing entropy.
 
-For each language, a suffix automaton is built over a bounded sample of labelled text (``SAMPLE_BYTES`` a language from
-at most ``SAMPLE_DOCS`` documents chosen by digest; both are parameters). A text is parsed from left to right into the
-longest phrases that occur in a language's sample; with c phrases over n bytes and a sample of m bytes, c log2(m) / n
-estimates the bits a byte needs given that language. The language of the fewest normalised phrases wins.
+For each language, a suffix automaton is built over a bounded sample of labelled text: ``sample_docs`` (64) documents at
+most, chosen by the least digests of (doc_id, text) in as many bins, so that copies of a document count once and every
+language with a text of its own is learned; ``sample_bytes`` (24,000) bytes in all, each document giving an equal share
+from a place chosen by its digest. Both bounds are parameters. A text is parsed from left to right into the longest
+phrases that occur in a language's sample; with c phrases over n bytes and a sample of m bytes, c log2(m) / n estimates
+the bits a byte needs given that language. The language of the fewest normalised phrases wins.
 
 Automata of all languages form one transition table in which a failed step already restarts at the root and carries a
-phrase mark, so that thousands of text pieces are parsed side by side with a few array operations a byte. Long texts
-are parsed in pieces of ``PIECE`` bytes, whose phrases are added: every byte counts.
+phrase mark, so that thousands of texts are parsed side by side with a few array operations a byte. Every text is
+parsed whole, from its first byte to its last; when only a few long ones remain, each goes on by itself.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled text every text is
 ``und``; ties go to the first language in code-point order; a null doc_id counts as the text "null" in the fold;
-repeated rows are judged alike; an empty table gives no rows.
+repeated rows are judged alike; texts of any length are parsed whole; other columns, whatever their names, play no part
+(with ``keep`` they pass through); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from pyspark.sql import types as T
 from coppice.llm.common import picked, ranges, text_chunks
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE_BYTES, SAMPLE_DOCS, FROM_DOC = 24_000, 64, 2_000
-PIECE = 512
+SAMPLE_BYTES, SAMPLE_DOCS = 24_000, 64
+#: Bytes for which texts are laid side by side at once; below so many automata in step, each text goes on by itself.
+STRIDE, FEW = 512, 64
 UNKNOWN = "und"
 #: Languages learned at most; more are an error, not dropped.
 MOST_LANGUAGES = 400
@@ -124,32 +128,43 @@ def learn(texts: dict[str, bytes]) -> Model:
 
 def phrases(model: Model, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Phrases of each text (row) under each language (column)."""
-    docs, langs = len(at) - 1, len(model.languages)
-    length = np.diff(at)
-    pieces = -(-length // PIECE)
-    doc = np.repeat(np.arange(docs), pieces)
-    number = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]
-    start = at[:-1][doc] + number * PIECE
-    size = np.minimum(PIECE, at[1:][doc] - start)
+    langs = len(model.languages)
+    size = np.diff(at)
     order = np.argsort(-size, kind="stable")
-    start, size, doc = start[order], size[order], doc[order]
-    out = np.zeros((docs, langs), np.int64)
+    out = np.zeros((len(size), langs), np.int64)
     symbols = model.symbol[raw]
-    for lane in range(0, len(start), 4096):
-        s, n, d = start[lane : lane + 4096], size[lane : lane + 4096], doc[lane : lane + 4096]
-        steps = int(n[0])
-        grid = np.zeros((len(s), steps), np.uint8)
-        grid.ravel()[ranges(np.arange(len(s)) * steps, n)] = symbols[ranges(s, n)]
-        grid = np.ascontiguousarray(grid.T)
-        active = np.searchsorted(-n, -np.arange(1, steps + 1), side="right")
-        state = np.repeat(model.roots[:, None], len(s), 1)
-        count = np.zeros((langs, len(s)), np.int32)
-        for i in range(steps):
-            k = active[i]
-            taken = model.table.take(state[:, :k] + grid[i, :k])
-            count[:, :k] += taken & 1
-            state[:, :k] = taken >> 1
-        np.add.at(out, d, count.T)
+    for lane in range(0, len(order), 4096):
+        doc = order[lane : lane + 4096]
+        start, n = at[:-1][doc], size[doc]
+        state = np.repeat(model.roots[:, None], len(doc), 1)
+        count = np.zeros((langs, len(doc)), np.int64)
+        done = 0
+        while True:
+            k = int(np.searchsorted(-n, -done))  # texts longer than what is done
+            if k * langs < FEW:
+                break
+            width = min(STRIDE, int(n[0]) - done)
+            own = np.minimum(n[:k] - done, width)
+            grid = np.zeros((k, width), np.uint8)
+            grid.ravel()[ranges(np.arange(k) * width, own)] = symbols[ranges(start[:k] + done, own)]
+            grid = np.ascontiguousarray(grid.T)
+            active = np.searchsorted(-own, -np.arange(1, width + 1), side="right").tolist()
+            for i, j in enumerate(active):
+                taken = model.table.take(state[:, :j] + grid[i, :j])
+                count[:, :j] += taken & 1
+                state[:, :j] = taken >> 1
+            done += width
+        table = memoryview(model.table)
+        for j in range(k):
+            rest = symbols[start[j] + done : start[j] + n[j]].tobytes()
+            for lang in range(langs):
+                s, c = int(state[lang, j]), 0
+                for x in rest:
+                    s = table[s + x]
+                    c += s & 1
+                    s >>= 1
+                count[lang, j] += c
+        out[doc] = count.T
     return out
 
 
@@ -157,31 +172,31 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))), F.lit(folds))
 
 
-def samples(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """At most ``sample_bytes`` of labelled text a language, from documents outside the held-out fold, chosen by digest."""
+def samples(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
+    """At most ``sample_bytes`` of labelled text a language from at most ``sample_docs`` documents outside the held-out fold."""
     docs = picked(df, doc_id=(doc_id, T.LongType()), text=(text, T.StringType()), lang=(lang, T.StringType()))
-    labelled = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
+    learnable = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
+    drawn = learnable.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw")).withColumn("bin", F.pmod("draw", F.lit(sample_docs)).cast("int"))
+    least = drawn.select("lang", "bin", "draw").groupBy("lang", "bin").agg(F.min("draw").alias("draw"))
+    chosen = least.limit(MOST_LANGUAGES * sample_docs + 1).toArrow().to_pylist()
+    of: dict[str, list[int]] = {}
+    for r in chosen:
+        of.setdefault(r["lang"], []).append(r["draw"])
+    if len(of) > MOST_LANGUAGES or len(chosen) > MOST_LANGUAGES * sample_docs:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    if not of:
         return {}
-    # so many documents are expected to pass that SAMPLE_DOCS of them are all but sure to
-    rates = df.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * SAMPLE_DOCS + 40) / r["count"])) for r in counts], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    passed = labelled.join(F.broadcast(rates), "lang").where((draw < F.col("rate")) & F.col("text").isNotNull())
-    rows = passed.select("lang", draw.alias("draw"), F.substring("text", 1, FROM_DOC).alias("text")).collect()
-    chosen: dict[str, list[tuple[float, str]]] = {}
-    for r in rows:
-        chosen.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    out = {}
-    for k, own in chosen.items():
-        own = sorted(own)[:SAMPLE_DOCS]
-        each = max(1, sample_bytes // max(1, len(own)))
-        joined = b"\n".join(t.encode()[: max(each, 200)] for _, t in own)[:sample_bytes]
-        if joined.strip():
-            out[k] = joined
-    return out
+    rows = [(k, d, max(1, sample_bytes // len(own))) for k, own in of.items() for d in own]
+    wanted = df.sparkSession.createDataFrame(rows, "lang string, draw long, each int")
+    met = drawn.join(F.broadcast(wanted), ["lang", "draw"])  # bounded: languages x sample_docs
+    place = F.pmod(F.xxhash64("draw", F.lit("place")), F.greatest(F.lit(1), F.length("text") - F.col("each") + 1))
+    parts = met.select("lang", "draw", "each", F.substring("text", (place + 1).cast("int"), F.col("each")).alias("part"))
+    parts = parts.groupBy("lang", "draw").agg(F.min("part").alias("part"), F.min("each").alias("each"))  # copies of a row count once
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(parts.toArrow().to_pylist(), key=lambda r: (r["lang"], r["draw"])):
+        out.setdefault(r["lang"], []).append(r["part"].encode()[: r["each"]])
+    joined = {k: b"\n".join(own)[:sample_bytes] for k, own in out.items()}
+    return {k: t for k, t in joined.items() if t.strip()}
 
 
 def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -200,7 +215,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             n = batch.num_rows
             best, score = np.full(n, len(m.languages)), np.zeros(n)
             known = batch.column(len(own) + 1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, raw, at in text_chunks(batch.column(len(own)), 1 << 21):
+            for a, b, raw, at in text_chunks(batch.column(len(own)), 1 << 23):
                 if not m.languages or not known[a:b].any():
                     continue
                 size = np.maximum(np.diff(at), 1)

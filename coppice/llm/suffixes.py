@@ -7,17 +7,23 @@ of the key, a few MB each) and over shards of anchors:
 
 1. each group lists its anchors; 2. shards of anchors find those that occur twice or more; 3. each group sends the
 segments (runs of windows of one anchor) of these anchors to the anchor's shard, equal segments once, and reports its
-own later copies; 4. a shard sorts the windows of its different segments into suffix order (as far as ``length`` bytes,
-ties in text order). There the previous smaller position of a window, if any, is the neighbour before it in its class
-of equal windows, so its longest previous factor reaches ``length`` unless it is the first of its class; matches go
-back to their groups; 5. each group removes what its intervals cover.
-
-The texts are shuffled once; steps 1, 3 and 5 read the same exchange. An anchor of more than ``HOT`` segments is
-spread over all shards by the digests (128 bits) of its windows instead, one row a group and window, so no shard grows
-with a passage that a third of the documents share.
-
-Defined cases: a null text is the empty text; rows of one id are ordered by a digest of the text, and equal rows are
-one document of which each row gets the result; null ids come last; an empty table gives no rows.
+own later copies; 4. a shard sorts the windows of its different segments into suffix order, finds for each the nearest
+ones before and after it in that order which stand earlier in the text (previous and next smaller positions), and so the
+length of its longest previous factor, counted up to ``length``; windows whose factor has the whole ``length`` go back
+to their groups as matches; 5. each group removes what its intervals cover.
+
+Where copies are dropped before that, in 3 and 4, their bytes have been compared: hashes only choose what to compare.
+The texts are shuffled once; steps 1, 3 and 5 read the same exchange. There are eight times as many shards as
+partitions, so that a shard's bytes stay a small part of a task's.
+
+Of an anchor of more than ``HOT`` segments (the edges of a passage that a third of the documents share), windows go to
+all shards by their digests (BLAKE2b, 128 bits) instead of the bytes around them, one row a group and window: there the
+digest stands for the window, and the factors are found over digests in the same way. This is the one place where 128
+bits are taken for 100 bytes; it bounds every shard, and an error is as likely as a collision of BLAKE2b.
+
+Defined cases: a null text is the empty text; texts of any length are taken whole (one at a time in a task); rows of one
+id are ordered by a digest of the text, and equal rows are one document of which each row gets the result; null ids come
+last, behind the largest id; other columns pass through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +43,10 @@ LENGTH, HOT = 100, 50_000
 BLOCK = 1 << 17
 #: Bits of a position within a block.
 PLACE = 18
+#: Shards of segments are 2^SPREAD times the partitions.
+SPREAD = 3
+#: Bytes compared together; rounds of pointer jumping before a plain walk takes over.
+COMPARED, ROUNDS = 1 << 20, 64
 #: Bytes are hashed as these random odd numbers.
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _R = 0x5851F42D4C957F2D
@@ -131,40 +141,105 @@ def _words(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_classes(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order of ``starts`` as far as ``length`` bytes, ties in the given order; class numbers in that order)."""
+def _equal_bytes(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Leading equal bytes of different numbers of ``width`` bytes."""
+    differ = x ^ y
+    out = np.full(len(x), width - 1, np.int32)
+    for j in range(1, width):
+        out -= differ >= np.uint64(1 << 8 * j)
+    return out
+
+
+def suffix_order(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix order of ``starts`` as far as ``length`` bytes, ties in the given order; common bytes of each with the one before it there)."""
     word = _words(raw)
-    order = np.argsort(word[starts] if length >= 8 else word[starts] >> np.uint64(64 - 8 * length), kind="stable")
-    key = word[starts[order]] if length >= 8 else word[starts[order]] >> np.uint64(64 - 8 * length)
-    new = np.ones(len(starts), bool)
-    new[1:] = key[1:] != key[:-1]
+    width = min(8, length)
+    shift = np.uint64(64 - 8 * width)
+    order = np.argsort(word[starts] >> shift, kind="stable")
+    key = word[starts[order]] >> shift
+    common = np.full(len(starts), length, np.int32)
+    common[:1] = 0
+    at = np.flatnonzero(key[1:] != key[:-1]) + 1
+    common[at] = _equal_bytes(key[at], key[at - 1], width)
     for depth in range(8, length, 8):
-        alone = new & np.append(new[1:], True)
-        tied = np.flatnonzero(~alone)
+        whole = common == length
+        whole[:1] = False
+        tied = np.flatnonzero(whole | np.append(whole[1:], False))
         if not len(tied):
             break
+        width = min(8, length - depth)
         own = order[tied]
-        key = word[starts[own] + depth]
-        if length - depth < 8:
-            key = key >> np.uint64(64 - 8 * (length - depth))
-        group = np.cumsum(new)[tied]
+        key = word[starts[own] + depth] >> np.uint64(64 - 8 * width)
+        group = np.cumsum(~whole[tied])
         by = np.lexsort((key, group))
         order[tied] = own[by]
-        key, group = key[by], group[by]
-        fresh = np.ones(len(tied), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        new[tied] = fresh
-    return order, np.cumsum(new) - 1
-
-
-def repeated(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether each window (in text order) has a previous factor of ``length`` bytes among the others."""
-    order, group = suffix_classes(raw, starts, length)
-    before = np.full(len(starts), -1, np.int64)  # previous smaller position in suffix order, as far as it matches in full
-    same = group[1:] == group[:-1]
-    before[1:][same] = order[:-1][same]
-    out = np.zeros(len(starts), bool)
-    out[order] = (before >= 0) & (before < order)
+        key = key[by]
+        fresh = np.flatnonzero((key[1:] != key[:-1]) & (group[1:] == group[:-1])) + 1
+        common[tied[fresh]] = depth + _equal_bytes(key[fresh], key[fresh - 1], width)
+    return order, common
+
+
+def nearest_smaller(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the nearest earlier entry with a smaller ``place``, or -1; the least of ``common`` on the way to it).
+
+    All entries jump at once over what is known to be larger; should a few have very far to go, a plain walk with a stack
+    takes over.
+    """
+    n = len(place)
+    to, least = np.arange(-1, n - 1), common.copy()
+    going = np.arange(n)
+    for _ in range(ROUNDS):
+        going = going[to[going] >= 0]
+        going = going[place[to[going]] > place[going]]
+        if not len(going):
+            return to, np.where(to >= 0, least, 0)
+        via = to[going]
+        nearer = np.minimum(least[going], least[via])  # read before any of them moves
+        to[going], least[going] = to[via], nearer
+    stack: list[int] = []
+    values, shared = place.tolist(), common.tolist()
+    for i in range(n):
+        m = shared[i]
+        while stack and values[stack[-1]] > values[i]:
+            m = min(m, int(least[stack.pop()]))
+        to[i], least[i] = (stack[-1], m) if stack else (-1, 0)
+        stack.append(i)
+    return to, least
+
+
+def longest_previous(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The longest-previous-factor array of the windows at ``starts`` (in text order), counted up to ``length``: how many of a
+    window's first bytes also stand at an earlier one.
+
+    In a class of equal windows every one but the first has its predecessor as previous smaller position, at the whole
+    length; the first ones find theirs, and the next smaller positions, among each other.
+    """
+    order, common = suffix_order(raw, starts, length)
+    out = np.full(len(starts), length, np.int32)
+    first = np.flatnonzero(common < length)
+    place, shared = order[first], common[first]
+    _, before = nearest_smaller(place, shared)
+    behind = np.append(shared[1:], 0)[::-1]
+    _, after = nearest_smaller(place[::-1], behind)
+    out[place] = np.maximum(before, after[::-1])
+    return out
+
+
+def copies(raw: np.ndarray, start: np.ndarray, size: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Whether each slice equals, byte by byte, the first one of its digest."""
+    _, first, inverse = np.unique(digest, return_index=True, return_inverse=True)
+    model = first[inverse.ravel()]
+    out = np.zeros(len(start), bool)
+    alike = np.flatnonzero((model != np.arange(len(start))) & (size[model] == size))
+    ends = np.cumsum(size[alike])
+    low = 0
+    while low < len(alike):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + COMPARED)))
+        own = alike[low:high]
+        n = size[own]
+        same = raw[ranges(start[own], n)] == raw[ranges(start[model[own]], n)]
+        out[own] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        low = high
     return out
 
 
@@ -278,9 +353,7 @@ def _send_segments(bits: int, length: int):
         rows = []
         plain = np.flatnonzero(~is_hot)
         size = windows[plain] + length - 1
-        digest = _digests(group.raw, start[plain], size)
-        _, first, inverse = np.unique(digest, return_index=True, return_inverse=True)
-        copy = first[inverse] != np.arange(len(plain))
+        copy = copies(group.raw, start[plain], size, _digests(group.raw, start[plain], size))
         later = plain[copy]
         echo = [(doc[later], start[later] - group.at[doc[later]], start[later] - group.at[doc[later]] + size[copy])]
         sent = plain[~copy]
@@ -352,16 +425,13 @@ def _match(length: int):
         p, doc, k, h, parts, data = (np.concatenate(x) for x in (p, doc, k, h, parts, data))
         order = np.lexsort((parts[:, 0], h, k))
         if kind == 2:
-            digests = data.reshape(-1, 2)[order]
+            digests = np.ascontiguousarray(data.reshape(-1, 2)[order]).view(np.uint8).ravel()
             p, doc, start = p[order], doc[order], parts[order, 0]
-            _, first, inverse = np.unique(digests, axis=0, return_index=True, return_inverse=True)
-            copy = np.flatnonzero(first[inverse.ravel()] != np.arange(len(order)))
-            return _replies(p[copy], doc[copy], start[copy], start[copy] + length)
+            again = np.flatnonzero(longest_previous(digests, np.arange(0, len(digests), 16), 16) == 16)
+            return _replies(p[again], doc[again], start[again], start[again] + length)
         size = parts[:, 1]
         at = np.cumsum(size) - size
-        digest = _digests(data, at, size)[order]
-        _, first, inverse = np.unique(digest, return_index=True, return_inverse=True)
-        copy = first[inverse] != np.arange(len(order))
+        copy = copies(data, at[order], size[order], _digests(data, at, size)[order])
         whole, rest = order[copy], order[~copy]
         lengths = size[rest]
         raw = data[ranges(at[rest], lengths)]
@@ -369,7 +439,7 @@ def _match(length: int):
         windows = lengths - length + 1
         starts = ranges(base, windows)
         segment = np.repeat(np.arange(len(rest)), windows)
-        again = np.flatnonzero(repeated(raw, starts, length))
+        again = np.flatnonzero(longest_previous(raw, starts, length) == length)
         owner, a, z = intervals(starts[again], segment[again], length)
         shift = parts[rest, 0] - base
         return _replies(
@@ -433,15 +503,17 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, hot: int = HOT, as_text:
     bits = max(0, (n - 1).bit_length())
     safe = [f"c{i}" for i in range(len(others))]
     own = df.select(
+        F.col(f"`{doc_id}`").cast("long").isNull().alias("none"),
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID)).alias("k"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         *(F.col(f"`{f.name}`").alias(s) for f, s in zip(others, safe)),
     )
-    own = own.withColumn("h", F.xxhash64("text")).withColumn("p", F.pmod(F.xxhash64("k", "h"), F.lit(groups)).cast("int"))
+    digest = F.shiftrightunsigned(F.xxhash64("text"), 1)  # a null id comes behind the largest one
+    own = own.withColumn("h", F.when(F.col("none"), digest).otherwise(digest + F.lit(-(1 << 63)))).drop("none").withColumn("p", F.pmod(F.xxhash64("k", "h"), F.lit(groups)).cast("int"))
     texts = own.repartition(n, "p")
     grouped = texts.groupBy("p")
     known = grouped.applyInArrow(_list_anchors(bits, length), ANCHORS).groupBy("shard").applyInArrow(_known_anchors(hot), KNOWN)
-    sent = grouped.cogroup(known.groupBy("p")).applyInArrow(_send_segments(bits, length), SENT)
+    sent = grouped.cogroup(known.groupBy("p")).applyInArrow(_send_segments(bits + SPREAD, length), SENT)
     found = sent.groupBy("kind", "idx").applyInArrow(_match(length), FOUND)
     kept = T.StructType(
         [

@@ -160,15 +160,79 @@ def test_repeats_of_few_letters(spark, seed):
         assert got == plain_repeats([(i, t.encode()) for i, t in rows], length)
 
 
-def test_suffix_order_and_previous_factors():
+def plain_previous(text: bytes, starts: list[int], length: int) -> list[int]:
+    """For each start, the most bytes that it shares with an earlier one."""
+    out = []
+    for n, i in enumerate(starts):
+        shared = [next((d for d in range(length) if text[i + d] != text[j + d]), length) for j in starts[:n]]
+        out.append(max(shared, default=0))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [64, 1])
+def test_suffix_order_and_previous_factors(monkeypatch, rounds):
+    monkeypatch.setattr(suffixes, "ROUNDS", rounds)
     rnd = random.Random(5)
-    raw = np.frombuffer("".join(rnd.choice("ab") for _ in range(400)).encode(), np.uint8)
-    text = raw.tobytes()
-    for length in (5, 8, 11, 16, 29):
-        starts = np.arange(len(raw) - length + 1)
-        order, group = suffixes.suffix_classes(raw, starts, length)
-        assert order.tolist() == sorted(starts.tolist(), key=lambda i: (text[i : i + length], i))
-        assert suffixes.repeated(raw, starts, length).tolist() == [text.find(text[i : i + length]) < i for i in starts.tolist()]
+    for letters, n in (("ab", 300), ("a", 60), ("abcdefgh", 300)):
+        raw = np.frombuffer("".join(rnd.choice(letters) for _ in range(n)).encode(), np.uint8)
+        text = raw.tobytes()
+        for length in (3, 5, 8, 11, 16, 29):
+            starts = np.array(sorted(rnd.sample(range(len(raw) - length + 1), min(150, len(raw) - length))))
+            order, common = suffixes.suffix_order(raw, starts, length)
+            spelt = [text[i : i + length] for i in starts.tolist()]
+            assert order.tolist() == sorted(range(len(starts)), key=lambda i: (spelt[i], i))
+            assert common.tolist()[1:] == [next((d for d in range(length) if spelt[a][d] != spelt[b][d]), length) for a, b in zip(order, order[1:])]
+            assert suffixes.longest_previous(raw, starts, length).tolist() == plain_previous(text, starts.tolist(), length)
+    assert suffixes.longest_previous(np.zeros(0, np.uint8), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_nearest_smaller():
+    rnd = random.Random(4)
+    for n in (0, 1, 2, 50, 400):
+        for values in (rnd.sample(range(1000), n), list(range(n)), list(range(n))[::-1], [*range(1, n), 0][:n]):
+            common = [0, *(rnd.randrange(9) for _ in range(n - 1))][:n]
+            to, least = suffixes.nearest_smaller(np.array(values, np.int64), np.array(common, np.int32))
+            for i in range(n):
+                j = next((j for j in range(i - 1, -1, -1) if values[j] < values[i]), -1)
+                assert to[i] == j and least[i] == (min(common[j + 1 : i + 1]) if j >= 0 else 0)
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
+def test_equal_hashes_are_no_repeats(spark, hot):
+    """Blocks in the order of a Thue-Morse word and in that of its complement share every polynomial hash modulo 2^64."""
+    word = "a"
+    for _ in range(9):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rnd = random.Random(1)
+    block = "".join(rnd.choice("cdefghij") for _ in range(67))
+    texts = ["".join(block + x for x in w) for w in (word, word.translate(str.maketrans("ab", "ba")))]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.repeat_report(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    assert got == plain_repeats([(i, t.encode()) for i, t in rows], 100)
+    lone = [(0, texts[0][:68]), (1, texts[1][:68] * 2)]
+    assert sum(r["n_removed"] for r in suffixes.repeat_report(spark.createDataFrame(lone, "doc_id long, text string"), hot=hot).collect()) == 0
+
+
+def test_slices_are_copies_only_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "COMPARED", 7)
+    raw = np.frombuffer(b"abcdabcdabceabcd", np.uint8)
+    start, size = np.array([0, 4, 8, 12, 0]), np.array([4, 4, 4, 4, 3])
+    assert suffixes.copies(raw, start, size, np.zeros(5, np.uint64)).tolist() == [False, True, False, True, False]
+
+
+def test_null_id_comes_behind_the_largest(spark):
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abcdefgh") for _ in range(150))
+    rows = spark.createDataFrame([(None, text), (2**63 - 1, text)], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in suffixes.repeat_report(rows).collect()} == {(None, 150), (2**63 - 1, 0)}
+
+
+def test_one_long_text(spark):
+    rnd = random.Random(3)
+    once = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(1_500_000))
+    rows = spark.createDataFrame([(1, once + once), (2, once[:200])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.repeat_report(rows).collect()}
+    assert got == {1: (1_500_000, 1), 2: (200, 1)}
 
 
 def test_blocks_split_runs_but_lose_nothing(monkeypatch):

@@ -238,7 +238,7 @@ def test_packing_odd(odd, empty):
     assert packing.pack(empty, BPE).count() == 0
 
 
-def test_phrases():
+def test_phrases(monkeypatch):
     rnd = random.Random(8)
     texts = {k: "".join(rnd.choice(s) for _ in range(700)).encode() for k, s in (("a", "abcé "), ("b", "abdx "))}
     model = langid.learn(texts)
@@ -247,21 +247,36 @@ def test_phrases():
     for row, q in zip(got, queries):
         joint = [plain(model, texts[k], q) for k in ("a", "b")]
         assert row.tolist() == joint
+    for stride, few in ((7, 1), (16, 11), (512, 10**6)):
+        monkeypatch.setattr(langid, "STRIDE", stride)
+        monkeypatch.setattr(langid, "FEW", few)
+        assert (langid.phrases(model, *fp.joined(queries)) == got).all()
+    long = "".join(rnd.choice("abcdé ") for _ in range(400_000)).encode()
+    assert langid.phrases(model, *fp.joined([long]))[0].tolist() == [plain(model, texts[k], long) for k in ("a", "b")]
 
 
 def plain(model, sample: bytes, text: bytes) -> int:
     own, t = model.symbol[np.frombuffer(sample, np.uint8)].tobytes(), model.symbol[np.frombuffer(text, np.uint8)].tobytes()
-    total = 0
-    for a in range(0, len(t), langid.PIECE):
-        piece, at = t[a : a + langid.PIECE], 0
-        while at < len(piece):
-            end = at + 1
-            while end <= len(piece) and piece[at:end] in own:
-                end += 1
-            total, at = total + 1, max(at + 1, end - 1)
+    total = at = 0
+    while at < len(t):
+        end = at + 1
+        while end <= len(t) and t[at:end] in own:
+            end += 1
+        total, at = total + 1, max(at + 1, end - 1)
     return total
 
 
+def test_sparse_languages_are_learned(spark):
+    """One language of 40,000 rows of which ten have text; another under one null id; a third once, in a long text."""
+    rows = [(i, None if i % 4000 else "der hund und die katze gehen zum fluss", "de") for i in range(40_000)]
+    rows += [(None, "the dog and the cat walk to the river", "en")] * 50 + [(50_001, "le chien et le chat vont à la rivière " * 3000, "fr"), (50_003, "?!", "zz")]
+    got = langid.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"de", "en", "fr"} and all(0 < len(t) <= langid.SAMPLE_BYTES for t in got.values())
+    assert b"hund" in got["de"] and got["en"].count(b"dog") == 1 and len(got["fr"]) > 20_000
+    few = langid.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=100, sample_docs=2)
+    assert all(len(t) <= 100 for t in few.values())
+
+
 def test_suffix_automaton_accepts_exactly_the_factors():
     text = [0, 1, 0, 0, 1, 1, 0, 2, 0, 1]
     step = langid.SuffixAutomaton(text).step

@@ -161,7 +161,8 @@ def test_no_python_in_native_plans(spark, docs):
     for df in (licenses.scan(docs), urls.judge(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), urls.page_outcomes(docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
-    assert "Exchange" not in licenses.scan(docs.limit(0).union(docs))._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 @pytest.mark.parametrize("templates", [None, {"short": "two words", "long": licenses.LICENSES["mit-grant"]}])
@@ -199,3 +200,39 @@ def test_licenses_equal_brute_force(spark, odd, empty, templates):
         con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
         assert sorted(con.sql(licenses.oracle()).fetchall()) == got
     assert licenses.scan(odd, templates).count() == 0 and licenses.scan(empty, templates).count() == 0
+
+
+def test_bands_miss_as_seldom_as_told(spark):
+    """Windows that hold just 0.8 of a template of 40 shingles; few bands, so that misses show."""
+    rnd = random.Random(3)
+    template = " ".join(f"t{i}" for i in range(44))
+    rows = []
+    for i in range(300):
+        own = template.split()
+        own = own[:36] if i % 2 else own[8:]  # 32 of 40 shingles
+        filler = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(30, 120))]
+        at = rnd.randrange(len(filler))
+        rows.append((i, " ".join([*filler[:at], *own, *filler[at:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert licenses.miss(40, 0.8) < 2e-4 and licenses.miss(40, 1.0) < 2e-8 and licenses.miss(1, 1.0) == 0
+    assert licenses.scan(df, {"t": template}).count() == 300
+    for bands, rows_ in ((8, 2), (4, 1)):
+        found = licenses.scan(df, {"t": template}, bands=bands, rows=rows_).count()
+        assert 300 * (1 - 1.3 * licenses.miss(40, 0.8, bands, rows_)) <= found < 300
+
+
+def test_hundreds_of_full_templates(spark, monkeypatch):
+    rnd = random.Random(4)
+    templates = {f"t{i}": " ".join(f"v{rnd.randrange(4000)}" for _ in range(rnd.randrange(1, 1200))) for i in range(500)}
+    rows = [(i, " ".join(f"v{rnd.randrange(4000)}" for _ in range(50)) + " " + templates[f"t{i}"] + " more words after it") for i in range(0, 500, 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (licenses.TEMPLATES, 200):
+        monkeypatch.setattr(licenses, "TEMPLATES", most)
+        got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(df, templates).collect()}
+        assert all(got[i, f"t{i}"] == 1.0 for i, _ in rows)
+
+
+def test_license_in_a_long_text(spark):
+    text = "word and other words " * 200_000 + licenses.LICENSES["mit-grant"]
+    got = licenses.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert [r["license"] for r in got] == ["mit-grant"] * 2

@@ -49,6 +49,36 @@ def test_few_and_mixed_lengths(spark):
     assert hnsw.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_hubs_keep_their_links():
+    """All nodes are nearest to one hub: links back that overflow are chosen anew, none of them by a cap on how many are seen."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 24))
+    x = hnsw.unit(np.concatenate([[np.ones(24) * 3], x + 2.0]))
+    g = hnsw.Graph.build(x)
+    want = np.argsort(-(x @ x.T), axis=1)[:, :5]
+    got = g.search(x)
+    assert np.mean([len(set(a[:5].tolist()) & set(b.tolist())) / 5 for a, b in zip(got, want)]) > 0.98
+    assert all((layer[g.level >= lay] >= 0).any(1).all() for lay, layer in enumerate(g.layers) if (g.level >= lay).sum() > 1)
+
+
+def test_cells_are_probed_as_far_as_neighbours_lie(spark, monkeypatch):
+    """Tight clusters over many shards: few cells are probed, and the neighbours found all the same."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(20, 16))
+    x = (middle[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 16)) * 0.1).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    seen = []
+    found = hnsw._probes
+    monkeypatch.setattr(hnsw, "_probes", lambda *a: seen.append(found(*a)) or seen[-1])
+    got: dict[int, set] = {}
+    for r in hnsw.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(np.arange(2000), x)
+    assert np.mean([len(got[q] & {i for i, _ in v}) / 5 for q, v in want.items()]) > 0.95
+    assert 1 <= seen[0][16] < 15
+
+
 def test_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(2)

@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.common import picked, ranges, text_chunks
+from coppice.llm.common import picked, ranges, release, text_chunks
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_BYTES, SAMPLE_DOCS = 24_000, 64
 #: Bytes for which texts are laid side by side at once; below so many automata in step, each text goes on by itself.
-STRIDE, FEW = 512, 64
+STRIDE, FEW = 256, 64
 UNKNOWN = "und"
 #: Languages learned at most; more are an error, not dropped.
 MOST_LANGUAGES = 400
@@ -215,7 +215,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             n = batch.num_rows
             best, score = np.full(n, len(m.languages)), np.zeros(n)
             known = batch.column(len(own) + 1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, raw, at in text_chunks(batch.column(len(own)), 1 << 23):
+            for a, b, raw, at in text_chunks(batch.column(len(own)), 1 << 21):
                 if not m.languages or not known[a:b].any():
                     continue
                 size = np.maximum(np.diff(at), 1)
@@ -229,6 +229,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                 best[a:b] = np.where(known[a:b], first, len(m.languages))
                 score[a:b] = np.where(known[a:b], np.clip(sure, 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(own))), languages.take(pa.array(best)), pa.array(score)], names=[f.name for f in fields])
+        release()
 
     return chosen.mapInArrow(run, T.StructType(fields))
 

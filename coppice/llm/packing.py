@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coppice.llm.bytebpe import coder
-from coppice.llm.common import partitions, picked, stored
+from coppice.llm.common import partitions, picked, release, stored
 
 CAPACITY = 2048
 #: Salts of a length: one for so many pieces, within bounds (the driver gets capacity x salts counts at most).
@@ -130,6 +130,7 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: i
                     row += 1
                 ids, counts = bpe.encode(own)
                 yield cut(ids, counts, names.slice(first, row - first))
+        release()
 
     def cut(ids, counts, names):
         total = counts + 1

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from coppice.llm.common import picked
+from coppice.llm.common import picked, release
 
 BLANK = "▁"
 LIMIT = 4096
@@ -101,5 +101,6 @@ def count_tokens(df: DataFrame, model: str, limit: int = LIMIT, doc_id: str = "d
                     size[i] = t.as_buffer().size
                     count[i] = whole.tokens(t.as_py())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(count), pa.array(count > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

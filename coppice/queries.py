@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,9 @@ from coppice.plans.tree import Tree
 from coppice.sources import models
 
 BINS = 256
+#: A gain that some splits of the prices reach at any scale, and others don't.
+MIN_GAIN = 5_000.0
+RATE = 0.7
 NUMERIC = ("l_quantity", "l_discount", "l_tax")
 FLAGS = ("A", "N", "R")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -89,9 +93,14 @@ def bin_histogram_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _histogram(_lines(spark, sf_dir), _class_stats("flag", 3))[0]
 
 
+def _cents(column: str) -> Column:
+    """Prices as decimals, whose sums are exact in any order."""
+    return F.col(column).cast("decimal(18,2)")
+
+
 def bin_histogram_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, _ = _histogram(_lines(spark, sf_dir), _sum_stats())
-    return cells.select("feature", "bin", "w", F.round("wy", 0).alias("wy"))
+    cells, _ = _histogram(_lines(spark, sf_dir), {"w": F.lit(1.0), "wy": _cents("price")})
+    return cells.select("feature", "bin", "w", F.col("wy").cast("double").alias("wy"))
 
 
 def _stump(rows: DataFrame, impurity: str, stats: dict[str, Column], digits: int, **limits) -> DataFrame:
@@ -119,7 +128,12 @@ def stump_min_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stump_min_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stump(_lines(spark, sf_dir), "variance", _sum_stats(), 1, min_gain=1e8)
+    """How many splits of each feature reach the least gain, and how many don't."""
+    cells, _ = _histogram(_lines(spark, sf_dir), _sum_stats())
+    kept = search.split_gains(cells, "variance", ["w", "wy", "wyy"], min_gain=MIN_GAIN).groupBy("feature").agg(F.count("*").alias("kept"))
+    every = search.split_gains(cells, "variance", ["w", "wy", "wyy"], min_gain=float("-inf")).groupBy("feature").agg(F.count("*").alias("n"))
+    kept_or_none = F.coalesce("kept", F.lit(0))
+    return every.join(kept, "feature", "left").select("feature", kept_or_none.alias("kept"), (F.col("n") - kept_or_none).alias("refused"))
 
 
 def stump_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +146,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _orders(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("price"), 3).alias("centroid"))
+    cells = _orders(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), (F.sum(_cents("price")).cast("double") / F.count("*")).alias("centroid"))
     return cells
 
 
@@ -205,8 +219,12 @@ def forest_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bag_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bagged = bagging.bag(_lines(spark, sf_dir), 4, 0.7, 17)
-    return bagged.select(F.posexplode("bag").alias("tree", "w")).groupBy("tree", "w").agg(F.count("*").alias("n"))
+    """Whether the draws of each tree have the mean, the variance and the share of zeros of a Poisson draw of 0.7, within five deviations."""
+    bagged = bagging.bag(_lines(spark, sf_dir), 4, RATE, 17).select(F.posexplode("bag").alias("tree", "w"))
+    of = bagged.groupBy("tree").agg(F.count("*").alias("rows"), F.avg("w").alias("m"), F.var_pop("w").alias("v"), F.avg((F.col("w") == 0).cast("int")).alias("z"))
+    zero, n = math.exp(-RATE), F.col("rows")
+    near = lambda c, want, spread: (F.abs(F.col(c) - want) < 5 * F.sqrt(spread / n)).alias({"m": "mean", "v": "variance", "z": "zeros"}[c])
+    return of.select("tree", "rows", near("m", RATE, F.lit(RATE)), near("v", RATE, F.lit(RATE + 2 * RATE * RATE)), near("z", zero, F.lit(zero * (1 - zero))))
 
 
 def ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,12 +280,88 @@ def two_phase_equals_one_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(one.same(two), one.num_nodes, two.num_nodes)], "same boolean, distributed_nodes int, local_nodes int")
 
 
+def _heap_rows(spark: SparkSession, tree: Tree, classify: bool, digits: int) -> DataFrame:
+    """The nodes of a trained tree by heap number (root 1), each with what it predicts."""
+    rows, stack = [], [(0, 1)]
+    while stack:
+        at, number = stack.pop()
+        inner = not tree.is_leaf(at)
+        rows.append((number, tree.feature[at] if inner else -1, tree.threshold[at] if inner else None, tree.gain[at] if inner else None, tree.prediction[at]))
+        stack += [(k, 2 * number + i) for i, k in enumerate(tree.children(at))]
+    out = spark.createDataFrame(rows, "node int, feature int, threshold double, gain double, prediction double")
+    return out.select("node", "feature", "threshold", F.round("gain", digits).alias("gain"), F.round("prediction", 0 if classify else 3).alias("prediction"))
+
+
+def _grown(spark: SparkSession, sf_dir: str, impurity: str, local_rows: int, weighted: bool = False, cached: bool = True) -> DataFrame:
+    """A tree of depth 2, trained, unpruned, on the exact midpoints; its second level is grown by rows at hand or by histograms."""
+    classify = impurity != "variance"
+    rows = _points(spark, sf_dir, "flag" if classify else "price")
+    if weighted:
+        rows = _lines(spark, sf_dir).select(F.col("flag" if classify else "price").cast("double").alias("label"), "features", F.col("l_linenumber").cast("double").alias("weight"), "row_id")
+    settings = {"impurity": impurity, "max_depth": 2, "max_bins": BINS, "exact_splits": True, "prune": False, "local_max_rows": local_rows, "cache_node_ids": cached}
+    model = train_classifier(rows, num_classes=3, **settings) if classify else train_regressor(rows, **settings)
+    return _heap_rows(spark, model.trees[0], classify, 8 if classify else 1)
+
+
+HERE, THERE = 10**9, 0
+
+
+def train_variance_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, "variance", THERE)
+
+
+def train_variance_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, "variance", HERE)
+
+
+def train_gini_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, "gini", THERE)
+
+
+def train_gini_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, "gini", HERE)
+
+
+def train_entropy_walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of rows found by walking the tree, not kept."""
+    return _grown(spark, sf_dir, "entropy", THERE, cached=False)
+
+
+def train_weighted_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, "gini", THERE, weighted=True)
+
+
+def train_weighted_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir, "gini", HERE, weighted=True)
+
+
+def train_ordered_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regression stump on two categorical features."""
+    own = _orders(spark, sf_dir).select(F.col("price").alias("label"), F.array(F.col("category").cast("double"), F.col("status").cast("double")).alias("features"))
+    tree = train_regressor(own, max_depth=1, categorical={0: len(PRIORITIES), 1: len(STATUSES)}, max_bins=BINS, prune=False).trees[0]
+    left = ",".join(map(str, sorted(tree.categories[0])))
+    return spark.createDataFrame([(tree.feature[0], left, tree.gain[0])], "feature int, left_categories string, gain double").withColumn("gain", F.round("gain", 1))
+
+
+def train_mixed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stump of three classes on an unordered categorical feature and a continuous one."""
+    own = _read(spark, sf_dir, "orders").select(
+        index("o_orderstatus", STATUSES).cast("double").alias("label"), F.array(index("o_orderpriority", PRIORITIES).cast("double"), (F.col("o_custkey") % 10).cast("double")).alias("features")
+    )
+    tree = train_classifier(own, num_classes=3, max_depth=1, categorical={0: len(PRIORITIES)}, max_bins=BINS, exact_splits=True, prune=False).trees[0]
+    by_category = tree.categories[0] is not None
+    row = (tree.feature[0], sum(1 << c for c in tree.categories[0]) if by_category else None, None if by_category else tree.threshold[0], tree.gain[0])
+    return spark.createDataFrame([row], "feature int, split int, threshold double, gain double").withColumn("gain", F.round("gain", 10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         distinct_value_counts, midpoint_splits, stride_splits, bin_features, bin_histogram_class, bin_histogram_reg, stump_variance, stump_gini, stump_entropy,
         stump_min_instances, stump_min_gain, stump_weighted, category_centroids, ordered_cat_stump, unordered_cat_stump, route_rows, tree_depth2_predict, forest_vote,
         forest_mean, bag_weights, ffd_packing, train_tree_deep, train_forest, two_phase_equals_one_phase,
+        train_variance_distributed, train_variance_local, train_gini_distributed, train_gini_local, train_entropy_walked, train_weighted_distributed, train_weighted_local,
+        train_ordered_categories, train_mixed_features,
     )
 }
 
@@ -311,6 +405,35 @@ g AS (SELECT feature, v, (v + nv) / 2 AS threshold, {size("l")} AS left_weight,
 SELECT CAST(feature AS INTEGER) AS feature, threshold, left_weight, round(gain, {digits}) AS gain FROM g WHERE gain >= {min_gain} ORDER BY gain DESC, feature, v LIMIT 1"""
 
 
+def _grown_sql(impurity: str, stats: dict[str, str], digits: int) -> str:
+    """A tree of depth 2: the best split of each node of a level among all midpoints of the whole table, rows sent on, twice."""
+    names = list(stats)
+    size = lambda k: f"{k}_w" if impurity == "variance" else "(" + " + ".join(f"{k}_{n}" for n in names) + ")"
+    x = [f"x{i}" for i in range(len(NUMERIC))]
+    run = ", ".join(f"sum({n}) OVER u AS l_{n}, sum({n}) OVER p AS t_{n}" for n in names)
+    gain = f"{_impure(impurity, 't', names)} - {size('l')} / {size('t')} * {_impure(impurity, 'l', names)} - {size('r')} / {size('t')} * {_impure(impurity, 'r', names)}"
+    parts = [f"""WITH r1 AS (SELECT 1 AS node, {', '.join(f'{c} AS x{i}' for i, c in enumerate(NUMERIC))}, {', '.join(f'{e} AS {n}' for n, e in stats.items())} FROM lineitem),
+g AS (SELECT feature, v, lead(v) OVER (PARTITION BY feature ORDER BY v) AS nv FROM ({' UNION '.join(f'SELECT {i} AS feature, {c} AS v FROM lineitem' for i, c in enumerate(NUMERIC))}))"""]
+    for n in (1, 2):
+        long = " UNION ALL ".join(f"SELECT node, {i} AS feature, x{i} AS v, {', '.join(names)} FROM r{n}" for i in range(len(NUMERIC)))
+        value = "CASE feature " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(NUMERIC))) + " END"
+        parts.append(f"""h{n} AS (SELECT node, feature, v, {', '.join(f'sum({s}) AS {s}' for s in names)} FROM ({long}) GROUP BY node, feature, v),
+c{n} AS (SELECT node, feature, v, {run} FROM h{n}
+  WINDOW p AS (PARTITION BY node, feature), u AS (PARTITION BY node, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d{n} AS (SELECT *, {', '.join(f't_{s} - l_{s} AS r_{s}' for s in names)} FROM c{n}),
+e{n} AS (SELECT node, feature, v, (v + nv) / 2 AS threshold, {gain} AS gain FROM d{n} JOIN g USING (feature, v) WHERE nv IS NOT NULL AND {size('l')} >= 1 AND {size('r')} >= 1),
+b{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v) AS rk FROM e{n}) WHERE rk = 1 AND gain > 0),
+r{n + 1} AS (SELECT CASE WHEN {value} <= threshold THEN 2 * node ELSE 2 * node + 1 END AS node, {', '.join(x + [f'r{n}.{s}' for s in names])} FROM r{n} JOIN b{n} USING (node))""")
+    if impurity == "variance":
+        best = "round(sum(wy) / sum(w), 3)"
+    else:
+        best = "CAST(CASE " + " ".join(f"WHEN sum({a}) >= greatest({', '.join(f'sum({b})' for b in names)}) THEN {i}" for i, a in enumerate(names)) + " END AS DOUBLE)"
+    every = " UNION ALL ".join(f"SELECT node, {', '.join(names)} FROM r{n}" for n in (1, 2, 3))
+    return ",\n".join(parts) + f""",
+q AS (SELECT node, {best} AS prediction FROM ({every}) GROUP BY node), b AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)
+SELECT CAST(q.node AS INTEGER) AS node, CAST(coalesce(b.feature, -1) AS INTEGER) AS feature, b.threshold, round(b.gain, {digits}) AS gain, q.prediction FROM q LEFT JOIN b USING (node)"""
+
+
 _RANKS = f"""{_long("l_extendedprice", "l_returnflag")}, d AS (SELECT feature, v, count(*) AS n FROM long GROUP BY feature, v)"""
 _BIN = ", ".join(f"CAST((SELECT count(*) FROM t WHERE t.feature = {i} AND t.threshold < {c}) AS INTEGER) AS b{i}" for i, c in enumerate(NUMERIC))
 _BINNED = f"""{_RANKS}, bins AS (SELECT feature, v, CAST(row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS INTEGER) AS bin FROM d)"""
@@ -331,14 +454,15 @@ f AS (SELECT i, stride AS target, NULL::DOUBLE AS threshold FROM s WHERE i = 1 U
 SELECT 0 AS feature, threshold FROM f WHERE threshold IS NOT NULL""",
     "bin_features": f"WITH {_BINNED} SELECT t0.bin AS b0, t1.bin AS b1, t2.bin AS b2, count(*) AS n FROM lineitem {_JOINED} GROUP BY 1, 2, 3",
     "bin_histogram_class": f"WITH {_BINNED} SELECT CAST(bins.feature AS INTEGER) AS feature, bin, {', '.join(f'sum({e}) AS {n}' for n, e in _classes().items())} FROM long JOIN bins ON long.feature = bins.feature AND long.v = bins.v GROUP BY bins.feature, bin",
-    "bin_histogram_reg": f"WITH {_BINNED} SELECT CAST(bins.feature AS INTEGER) AS feature, bin, sum(1.0::DOUBLE) AS w, round(sum(l_extendedprice), 0) AS wy FROM long JOIN bins ON long.feature = bins.feature AND long.v = bins.v GROUP BY bins.feature, bin",
+    "bin_histogram_reg": f"WITH {_BINNED} SELECT CAST(bins.feature AS INTEGER) AS feature, bin, sum(1.0::DOUBLE) AS w, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS wy FROM long JOIN bins ON long.feature = bins.feature AND long.v = bins.v GROUP BY bins.feature, bin",
     "stump_variance": _stump_sql("variance", _VARIANCE, 1),
     "stump_gini": _stump_sql("gini", _classes(), 8),
     "stump_entropy": _stump_sql("entropy", _classes(), 8),
     "stump_min_instances": _stump_sql("variance", _VARIANCE, 1, least=5_000),
-    "stump_min_gain": _stump_sql("variance", _VARIANCE, 1, min_gain=1e8),
+    "stump_min_gain": _stump_sql("variance", _VARIANCE, 1).split("SELECT CAST(feature AS INTEGER)")[0]
+    + f"SELECT CAST(feature AS INTEGER) AS feature, count(*) FILTER (gain >= {MIN_GAIN}) AS kept, count(*) FILTER (gain < {MIN_GAIN}) AS refused FROM g GROUP BY feature",
     "stump_weighted": _stump_sql("gini", _classes("CAST(l_linenumber AS DOUBLE)"), 8),
-    "category_centroids": f"SELECT CAST({_PRIORITY} AS INTEGER) AS category, count(*) AS n, round(avg(o_totalprice), 3) AS centroid FROM orders GROUP BY 1",
+    "category_centroids": f"SELECT CAST({_PRIORITY} AS INTEGER) AS category, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS centroid FROM orders GROUP BY 1",
     "ordered_cat_stump": f"""WITH h AS (SELECT CAST({_PRIORITY} AS INTEGER) AS c, sum(1.0::DOUBLE) AS w, sum(o_totalprice) AS wy, sum(o_totalprice * o_totalprice) AS wyy FROM orders GROUP BY 1),
 r AS (SELECT *, wy / w AS m, sum(w) OVER u AS l_w, sum(wy) OVER u AS l_wy, sum(wyy) OVER u AS l_wyy, sum(w) OVER () AS t_w, sum(wy) OVER () AS t_wy, sum(wyy) OVER () AS t_wyy FROM h
   WINDOW u AS (ORDER BY wy / w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -355,4 +479,38 @@ SELECT CAST(split AS INTEGER) AS split, round(gain, 10) AS gain, left_weight FRO
     "tree_depth2_predict": f"SELECT l_orderkey, l_linenumber, CAST({_TREE} AS DOUBLE) AS prediction FROM lineitem",
     "forest_vote": f"WITH v AS (SELECT l_orderkey, l_linenumber, {_COUNTED} FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS DOUBLE) AS prediction FROM v",
     "forest_mean": f"SELECT l_orderkey, l_linenumber, round(({' + '.join(_VOTES)}) / 3.0::DOUBLE, 6) AS prediction FROM lineitem",
+    "bag_weights": "SELECT CAST(t AS INTEGER) AS tree, (SELECT count(*) FROM lineitem) AS rows, true AS mean, true AS variance, true AS zeros FROM range(4) r(t)",
+    "ffd_packing": """WITH RECURSIVE s AS (SELECT l_suppkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS i FROM lineitem GROUP BY l_suppkey),
+m AS (SELECT 4 * max(n) AS capacity FROM s),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS load, CAST([] AS BIGINT[]) AS tasks, CAST(0 AS BIGINT) AS slot UNION ALL
+  SELECT i, CASE WHEN p IS NULL THEN list_append(load, n) ELSE list_transform(load, lambda x, j: CASE WHEN j = p THEN x + n ELSE x END) END,
+    CASE WHEN p IS NULL THEN list_append(tasks, 1) ELSE list_transform(tasks, lambda x, j: CASE WHEN j = p THEN x + 1 ELSE x END) END, coalesce(p, len(load) + 1)
+  FROM (SELECT s.i, s.n, f.load, f.tasks, list_position(list_transform(f.load, lambda x, j: x + s.n <= capacity AND f.tasks[j] < 5), true) AS p FROM f JOIN s ON s.i = f.i + 1, m)),
+b AS (SELECT slot, sum(n) AS total FROM f JOIN s USING (i) GROUP BY slot),
+o AS (SELECT slot, row_number() OVER (ORDER BY total DESC, slot) - 1 AS bin FROM b)
+SELECT CAST(bin AS INTEGER) AS bin, l_suppkey, n FROM f JOIN s USING (i) JOIN o USING (slot)""",
+    "train_ordered_categories": f"""WITH long AS (SELECT 0 AS feature, {_PRIORITY} AS c, o_totalprice AS y FROM orders UNION ALL SELECT 1, list_position({list(STATUSES)}, o_orderstatus) - 1, o_totalprice FROM orders),
+h AS (SELECT feature, CAST(c AS INTEGER) AS c, sum(1.0::DOUBLE) AS w, sum(y) AS wy, sum(y * y) AS wyy FROM long GROUP BY feature, c),
+r AS (SELECT *, wy / w AS m, sum(w) OVER u AS l_w, sum(wy) OVER u AS l_wy, sum(wyy) OVER u AS l_wyy, sum(w) OVER p AS t_w, sum(wy) OVER p AS t_wy, sum(wyy) OVER p AS t_wyy FROM h
+  WINDOW p AS (PARTITION BY feature), u AS (PARTITION BY feature ORDER BY wy / w, c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, t_w - l_w AS r_w, t_wy - l_wy AS r_wy, t_wyy - l_wyy AS r_wyy FROM r WHERE l_w < t_w),
+b AS (SELECT feature, m, {_impure("variance", "t", list(_VARIANCE))} - l_w / t_w * {_impure("variance", "l", list(_VARIANCE))} - r_w / t_w * {_impure("variance", "r", list(_VARIANCE))} AS gain FROM s ORDER BY gain DESC, feature, m LIMIT 1)
+SELECT CAST(h.feature AS INTEGER) AS feature, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS left_categories, round(any_value(b.gain), 1) AS gain FROM h JOIN b USING (feature) WHERE h.wy / h.w <= b.m GROUP BY h.feature""",
+    "train_mixed_features": f"""WITH h AS (SELECT {_PRIORITY} AS c, o_custkey % 10 AS v, {', '.join(f"sum(CASE WHEN o_orderstatus = '{s}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS n{i}" for i, s in enumerate(STATUSES))} FROM orders GROUP BY 1, 2),
+t AS (SELECT {', '.join(f'sum(n{i}) AS t_n{i}' for i in range(3))} FROM h), d AS (SELECT DISTINCT v FROM h), mid AS (SELECT v, (v + lead(v) OVER (ORDER BY v)) / 2.0::DOUBLE AS threshold FROM d),
+l AS (SELECT 0 AS feature, CAST(i - 1 AS INTEGER) AS split, NULL::DOUBLE AS threshold, {', '.join(f'sum(n{i}) AS l_n{i}' for i in range(3))} FROM range(1, 16) s(i), h WHERE (i >> CAST(c AS INTEGER)) & 1 = 1 GROUP BY i
+  UNION ALL SELECT 1, NULL, threshold, {', '.join(f'sum(n{i})' for i in range(3))} FROM mid JOIN h ON h.v <= mid.v WHERE threshold IS NOT NULL GROUP BY threshold),
+b AS (SELECT *, {', '.join(f't_n{i} - l_n{i} AS r_n{i}' for i in range(3))} FROM l, t),
+g AS (SELECT feature, split, threshold, {_impure("gini", "t", ["n0", "n1", "n2"])} - (l_n0 + l_n1 + l_n2) / (t_n0 + t_n1 + t_n2) * {_impure("gini", "l", ["n0", "n1", "n2"])}
+  - (r_n0 + r_n1 + r_n2) / (t_n0 + t_n1 + t_n2) * {_impure("gini", "r", ["n0", "n1", "n2"])} AS gain FROM b WHERE r_n0 + r_n1 + r_n2 >= 1)
+SELECT CAST(feature AS INTEGER) AS feature, split + 1 AS split, threshold, round(gain, 10) AS gain FROM g ORDER BY gain DESC, feature, split, threshold LIMIT 1""",
+} | {
+    name: _grown_sql(impurity, stats, digits)
+    for names, impurity, stats, digits in (
+        (("train_variance_distributed", "train_variance_local"), "variance", _VARIANCE, 1),
+        (("train_gini_distributed", "train_gini_local"), "gini", _classes(), 8),
+        (("train_entropy_walked",), "entropy", _classes(), 8),
+        (("train_weighted_distributed", "train_weighted_local"), "gini", _classes("CAST(l_linenumber AS DOUBLE)"), 8),
+    )
+    for name in names
 }

@@ -51,6 +51,7 @@ class _Settings(_Columns):
     maxTasksPerBin = _param("maxTasksPerBin", "most local tasks in one bin", TypeConverters.toInt)
     localMaxRows = _param("localMaxRows", "rows below which a node is finished locally; derived from memory if unset", TypeConverters.toInt)
     exactSplits = _param("exactSplits", "find thresholds from all rows", TypeConverters.toBoolean)
+    zeroGainLocally = _param("zeroGainLocally", "accept them in nodes finished locally, though not above", TypeConverters.toBoolean)
     zeroGain = _param("zeroGain", "accept valid splits that gain nothing", TypeConverters.toBoolean)
     seed = _param("seed", "seed", TypeConverters.toInt)
     numTrees = _param("numTrees", "trees of a forest", TypeConverters.toInt)
@@ -61,7 +62,7 @@ class _Settings(_Columns):
         self._setDefault(
             labelCol="label", featuresCol="features", weightCol="weight", predictionCol="prediction", impurity="gini" if classify else "variance", maxDepth=5, maxBins=32,
             minInstancesPerNode=1.0, minInfoGain=0.0, maxMemoryInMB=256, cacheNodeIds=True, checkpointInterval=10, maxMemoryMultiplier=4.0, maxTasksPerBin=(1 << 31) - 1,
-            exactSplits=False, zeroGain=False, seed=17,
+            exactSplits=False, zeroGain=False, zeroGainLocally=False, seed=17,
         )
         if classify:
             self._setDefault(rawPredictionCol="rawPrediction", probabilityCol="probability")
@@ -79,7 +80,8 @@ def _accessors(cls):
 
 @_accessors
 class _TreeEstimator(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritable):
-    """Custom splits, local trainer and time prediction are plain attributes; ``copy`` carries them, saving doesn't."""
+    """Custom splits, local trainer and time prediction are plain attributes: ``copy`` carries them; an estimator that has any
+    refuses to be saved, as they would be lost."""
 
     _classify = True
     _forest = False
@@ -94,6 +96,12 @@ class _TreeEstimator(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
             raise ValueError("a single tree sees all rows and features")
         self._set(**params)
 
+    def write(self):
+        own = {"customSplits": self.customSplits is not None, "localTrainingAlgorithm": self.localTrainingAlgorithm is not fit_locally, "timePredictionStrategy": self.timePredictionStrategy is not by_rows}
+        if any(own.values()):
+            raise ValueError("can't be saved: " + ", ".join(k for k, v in own.items() if v))
+        return super().write()
+
     def setCustomSplits(self, value):
         self.customSplits = value
         return self
@@ -134,6 +142,7 @@ class _TreeEstimator(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
             local_max_rows=get("localMaxRows") if self.isDefined("localMaxRows") else None,
             exact_splits=get("exactSplits"),
             zero_gain=get("zeroGain"),
+            zero_gain_locally=get("zeroGainLocally"),
         )
 
     def _frame(self, df: DataFrame) -> DataFrame:

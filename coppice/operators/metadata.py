@@ -25,6 +25,7 @@ class Metadata:
     num_trees: int = 1
     features_per_node: int = 0
     zero_gain: bool = False
+    zero_gain_locally: bool = False
     num_splits: tuple[int, ...] = field(default=())
 
     @property

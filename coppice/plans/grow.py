@@ -17,9 +17,9 @@ from coppice.operators import bagging, binning, splits
 from coppice.operators.metadata import Metadata, build
 from coppice.operators.search import Found, best_split, feature_split
 from coppice.plans import local
-from coppice.plans.schedule import Task, TimePrediction, by_rows, local_rows, memory_bytes, node_bytes, pack
+from coppice.plans.schedule import PYTHON_MEMORY, Task, TimePrediction, by_rows, local_rows, node_bytes, pack, python_bytes
 from coppice.plans.tree import Tree
-from coppice.sources.folders import checkpoint_folder
+from coppice.sources.folders import delete, write_aside
 
 DISTRIBUTED_DEPTH = 30
 #: Features whose histograms one reducer holds at a time.
@@ -53,6 +53,7 @@ class Strategy:
     local_max_rows: int | None = None
     exact_splits: bool = False
     zero_gain: bool = False
+    zero_gain_locally: bool = False
     prune: bool = True
 
     def validate(self) -> None:
@@ -104,6 +105,7 @@ class _State:
         self.now = self.rows.withColumn("nodes", F.array_repeat(F.lit(0), strategy.num_trees)) if self.cached else self.rows
         self.updates = 0
         self.held: DataFrame | None = None
+        self.aside: str | None = None
 
     def advance(self, trees: list[Tree]) -> None:
         """Sends rows on to the leaves of the grown trees."""
@@ -125,20 +127,26 @@ class _State:
         after = self.now.mapInArrow(run, schema)
         self.updates += 1
         every = self.strategy.checkpoint_interval
+        path = None
         if every > 0 and self.updates % every == 0:
-            checkpoint_folder(after.sparkSession)
-            after = after.checkpoint(eager=True)
+            after, path = write_aside(after)  # cuts the lineage
         else:
             after = after.persist(StorageLevel.MEMORY_AND_DISK)
         old, self.held, self.now = self.held, after, after
         if old is not None:
             self.now.count()
             old.unpersist()
+        if path is not None:
+            if self.aside is not None:
+                delete(after.sparkSession, self.aside)
+            self.aside = path
 
     def close(self) -> None:
         for df in (self.rows, self.held):
             if df is not None:
                 df.unpersist()
+        if self.aside is not None:
+            delete(self.rows.sparkSession, self.aside)
 
 
 def _nodes_of(batch: pa.RecordBatch, bins: np.ndarray, flats) -> np.ndarray:
@@ -292,6 +300,7 @@ def train(df: DataFrame, strategy: Strategy, num_features: int) -> Result:
         min_gain=strategy.min_gain,
         max_depth=strategy.max_depth,
         zero_gain=strategy.zero_gain,
+        zero_gain_locally=strategy.zero_gain_locally,
     )
     lap("metadata")
     thresholds = splits.find_thresholds(df, meta, strategy.seed, strategy.custom_splits, strategy.exact_splits)
@@ -347,11 +356,10 @@ def _grow(state: _State, strategy: Strategy, meta: Metadata, thresholds, seconds
 
 
 def _default_local_rows(spark, strategy: Strategy, meta: Metadata) -> int:
-    """From executor memory and cores, as configured; where they are not, from maxMemoryInMB."""
+    """From what an executor's Python workers may use and its cores, as configured; where nothing is, from maxMemoryInMB."""
     conf = spark.sparkContext.getConf()
     cores = int(conf.get("spark.executor.cores", "1"))
-    memory = conf.get("spark.executor.memory", None)
-    total = memory_bytes(memory) if memory else strategy.max_memory_mb << 20
+    total = python_bytes({k: conf.get(k, None) for k in PYTHON_MEMORY}, strategy.max_memory_mb << 20)
     return local_rows(total, cores, meta, strategy.max_memory_multiplier)
 
 

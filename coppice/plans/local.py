@@ -53,9 +53,9 @@ def apply_split(tree: Tree, node: int, found: Found, meta: Metadata, thresholds:
     return tree.left[node], tree.right[node]
 
 
-def usable(found: Found, meta: Metadata) -> bool:
-    """The leaf rule of both phases: a split must gain, or with ``zero_gain`` only be valid."""
-    return found.valid and (found.gain > 0 or meta.zero_gain)
+def usable(found: Found, meta: Metadata, here: bool = False) -> bool:
+    """The leaf rule: a split must gain, or with ``zero_gain`` only be valid; ``zero_gain_locally`` says so for nodes finished ``here``."""
+    return found.valid and (found.gain > 0 or meta.zero_gain or (here and meta.zero_gain_locally))
 
 
 def goes_left(column: np.ndarray, split: Split, arity: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def fit(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, meta: Metadat
             own_labels, own_weights = labels[rows], weights[rows]
             histograms = [cells(columns[f, rows], meta.bins(f), own_labels, own_weights, meta) for f in chosen]
             found = best_split(histograms, chosen, meta)
-            if not usable(found, meta):
+            if not usable(found, meta, here=True):
                 if node == 0 and not found.valid:
                     tree.impurity[0] = -1.0
                 continue

@@ -71,6 +71,22 @@ def memory_bytes(text: str) -> int:
     return int(float(t[:-1]) * (1 << scale[t[-1]])) if t and t[-1] in scale else int(t)
 
 
+#: The settings that say what lies outside an executor's heap, where Python workers hold a local task's rows.
+PYTHON_MEMORY = ("spark.executor.pyspark.memory", "spark.executor.memoryOverhead", "spark.executor.memoryOverheadFactor", "spark.executor.memory")
+
+
+def python_bytes(conf: dict[str, str | None], otherwise: int) -> int:
+    """Bytes that an executor's Python workers share: their own setting, else the overhead beside the heap (by its default rule,
+    where only the heap is set), else ``otherwise``. Plain numbers are MiB, as in these settings."""
+    own, overhead, factor, heap = (conf.get(k) for k in PYTHON_MEMORY)
+    sized = lambda v: int(v) << 20 if str(v).isdigit() else memory_bytes(v)
+    if own or overhead:
+        return sized(own or overhead)
+    if heap:
+        return max(384 << 20, int(memory_bytes(heap) * float(factor or 0.1)))
+    return otherwise
+
+
 @dataclass
 class Bins:
     """``times`` bins in a row that are alike; in ``places``, (rows of a task, first rank, tasks a bin) of the tasks they hold."""

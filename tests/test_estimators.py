@@ -111,6 +111,29 @@ def test_xor_stops_where_nothing_is_gained(spark):
     assert E.DecisionTreeClassifier(localMaxRows=0, zeroGain=True).fit(df).num_nodes == 7
 
 
+def test_zero_gain_may_be_for_local_nodes_only(spark):
+    """The first feature gains a little; below it lies XOR, where nothing gains: refused above, accepted locally."""
+    xor = [(float(a ^ b), (side, a, b)) for side in (0, 1) for a in (0, 1) for b in (0, 1)]
+    df = frame(spark, [*xor, (1.0, (1, 0, 1)), (1.0, (1, 1, 0))])
+    sizes = {}
+    for rows in (0, 100):
+        for locally in (False, True):
+            model = E.DecisionTreeClassifier(localMaxRows=rows, zeroGainLocally=locally).fit(df)
+            sizes[rows, locally] = model.num_nodes
+            tree = model.trees[0]
+            assert tree.feature[0] >= 0
+            if rows and locally:
+                assert all(tree.flat().predict(np.array([x]))[0] == y for y, x in xor)
+    assert sizes[0, False] == sizes[0, True] == sizes[100, False] < sizes[100, True]
+
+
+def test_what_saving_would_lose_is_refused(spark, tmp_path):
+    est = E.DecisionTreeClassifier()
+    est.setCustomSplits([[0.5]])
+    with pytest.raises(ValueError, match="customSplits"):
+        est.save(str(tmp_path / "e"))
+
+
 def test_forest_votes_and_columns(spark):
     df = frame(spark, ordered(200)).cache()
     model = E.RandomForestClassifier(numTrees=5, maxDepth=3, seed=4).fit(df)

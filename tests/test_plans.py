@@ -113,3 +113,14 @@ def test_zero_gain_is_a_choice():
     free = replace(meta, zero_gain=True)
     tree = fit(bins, labels, np.ones(4), free, [[0.5], [0.5]], 3)
     assert (tree.flat().predict(bins.astype(float)) == labels).all()
+
+
+def test_local_rows_follow_the_memory_outside_the_heap():
+    from coppice.plans.schedule import PYTHON_MEMORY, python_bytes
+
+    conf = lambda *values: dict(zip(PYTHON_MEMORY, values))
+    assert python_bytes(conf("2g", "1g", None, "8g"), 1) == 2 << 30
+    assert python_bytes(conf(None, "1024", None, "8g"), 1) == 1 << 30
+    assert python_bytes(conf(None, None, "0.5", "8g"), 1) == 4 << 30
+    assert python_bytes(conf(None, None, None, "1g"), 1) == 384 << 20
+    assert python_bytes(conf(None, None, None, None), 7) == 7

@@ -161,7 +161,7 @@ def test_word_count(spark):
 
 def test_urls_equal_sql(spark):
     rnd = random.Random(1)
-    hosts = ["WWW.Example.com", "example.com", "a.b.example.net", "bad.co.uk", "good.co.uk", "spam.org", "x.spam.org", "notexample.com", ""]
+    hosts = ["WWW.Example.com", "example.com", "a.b.example.net", "bad.co.uk", "good.co.uk", "spam.org", "x.spam.org", "notexample.com", "", "a.co.kr", "b.co.kr:8080", "user@x.spam.org", "10.0.0.1", "10.0.0.2:80", "me.github.io", "co.uk", "x.me"]
     pages = [(i, f"{rnd.choice(['http', 'https'])}://{rnd.choice(hosts)}{rnd.choice(['/en/', '/es/x', '/fr/', '', '/', '?q=/en/', '#/es/', '/EN/'])}") for i in range(400)]
     pages += [(900, None), (901, "no scheme"), (902, "://"), (903, "a://b://c/d"), (904, "http://ex\nample.com/en/\n"), (905, "http://example.com:80/en/"), (904, "http://spam.org/")]
     labels = [(i, int("spam" not in u and rnd.random() < 0.9), int("bad" in u)) for i, u in pages[:400:2]] + [(900, None, None), (7, 1, None), (7, 1, 0)]
@@ -187,6 +187,12 @@ def test_url_parts(spark):
     assert got == [("a.b", "/C"), ("y", ""), ("y", ""), ("", ""), ("", "")]
 
 
+def test_hosts_and_their_levels(spark):
+    cases = {"a.b.co.kr": ("b.co.kr", "co.kr"), "www.x.com:8080": ("x.com", "com"), "u:p@w.github.io": ("w.github.io", "github.io"), "10.1.2.3:5": ("10.1.2.3", "ip"), "com": ("com", "com"), "": ("", ""), "x.co": ("x.co", "co"), "co": ("co", "co")}
+    df = spark.createDataFrame([(h,) for h in cases], "h string").withColumn("name", urls.name_of(F.col("h")))
+    assert {r[0]: (r[1], r[2]) for r in df.select("h", *urls._levels(F.col("name"))).collect()} == cases
+
+
 def test_no_python_in_native_plans(spark, docs):
     for df in (licenses.scan(docs), urls.judge(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), urls.page_outcomes(docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))))):
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -5,12 +5,18 @@ lowest-ranked one in many runs of 64 neighbouring windows are the text's feature
 2,048-bit Bloom filters (5 bits a feature, 160 features a filter). Two digests are compared by the overlap of their
 filters' bits beyond what chance gives, over the most it could be.
 
+Short texts have finer features as well, or a change of their last quarter would touch every window: those of under 512,
+128 and 32 bytes also take windows of 16, 8 and 4 bytes, chosen by the same rule at a span of one window and a fourth of it
+in votes. Of the features at hand the smaller digest's share counts, so texts on either side of a limit stay comparable.
+
 The rarity of an entropy is a fixed table (a bell around that of prose), not a corpus statistic: a fingerprint
 depends on its text alone, so equal texts have equal fingerprints in every corpus.
 
 Defined cases: a null text is the empty text; a text without bytes has the fingerprint "" (likeness 1 to another
-empty text, 0 to any other); one of under 64 bytes is one feature; a text in which no window is popular enough gives
-its most popular window. Rows are ordered by (doc_id, text), null ids last; repeated rows are rows of their own.
+empty text, 0 to any other); one of under 4 bytes is one feature; a text of 64 bytes or more in which no window is popular
+enough gives its most popular window; texts of any length are read whole. Rows are ordered by (doc_id, text), null ids last,
+behind the largest id; repeated rows are rows of their own; other columns, whatever their names, play no part; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.common import LAST_ID, mix64, partitions, picked, search_sorted
+from coppice.llm.common import LAST_ID, mix64, partitions, picked, release, search_sorted
 
 WINDOW, SPAN, POPULAR = 64, 64, 16
 FILTER_BITS, FEATURE_BITS, FILTER_FEATURES = 2048, 5, 160
 #: Entropies are thousandths of 6 bits. Windows of prose lie around 650; below LEAST a window is a mere repetition.
 USUAL, SPREAD, LEAST, NOTHING = 650, 60, 150, 1023
+#: (texts of fewer bytes, bytes of a window, usual entropy in thousandths of the most a window can have).
+FINER = ((512, 16, 900), (128, 8, 960), (32, 4, 1000))
 BLOCK = 1 << 17
 FIXED = 1 << 16
+#: Ranges of ids at most: their bounds go into the plan. More rows make ranges longer, and they are streamed.
+MOST_RANGES = 32_768
 
 _c = np.arange(WINDOW + 2)
 _G = np.round(_c * np.log2(np.maximum(_c, 1)) * FIXED).astype(np.int32)
@@ -86,6 +96,25 @@ def popularity(ranks: np.ndarray, inside: np.ndarray | None = None) -> np.ndarra
     return votes[:n]
 
 
+def finer_features(text: bytes) -> list[tuple[int, bytes]]:
+    """(start, window) of the chosen small windows of a short text."""
+    out = []
+    for below, width, usual in FINER:
+        n = len(text) - width + 1
+        if len(text) >= below or n < 1:
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), width)
+        counts = (windows[:, :, None] == windows[:, None, :]).sum(2)
+        logs = np.round(np.log2(np.arange(1, width + 1)) * FIXED).astype(np.int64)
+        entropy = 1000 - logs[counts - 1].sum(1) * 1000 // int(width * np.log2(width) * FIXED)
+        rank = np.round(1000 * np.exp(-(((entropy - usual) / SPREAD) ** 2) / 2)).astype(np.int64)
+        rank = np.where(entropy < LEAST, 1001, rank) * n + np.arange(n)  # leftmost of the lowest
+        rank = np.append(rank, np.full(width - 1, 1 << 40))
+        winner = np.lib.stride_tricks.sliding_window_view(rank, width).argmin(1) + np.arange(n)
+        out += [(int(i), text[i : i + width]) for i in np.flatnonzero(np.bincount(winner, minlength=n) >= max(1, width // 4))]
+    return out
+
+
 def digests(raw: np.ndarray, at: np.ndarray) -> list[bytes]:
     """The chained filters of each text in ``raw``; ``at`` are the texts' offsets."""
     docs, lengths = len(at) - 1, np.diff(at)
@@ -109,11 +138,16 @@ def digests(raw: np.ndarray, at: np.ndarray) -> list[bytes]:
     h = np.full(len(chosen), 0x9E3779B97F4A7C15, np.uint64)
     for k in range(8):
         h = mix64(h ^ cells[:, k])
-    short = np.flatnonzero((lengths > 0) & (windows == 0))
-    if len(short):
-        brief = [int.from_bytes(hashlib.blake2b(raw[at[d] : at[d + 1]].tobytes(), digest_size=8).digest(), "little") for d in short]
-        chosen, doc = np.concatenate([chosen, at[short]]), np.concatenate([doc, short])
-        h = np.concatenate([h, np.array(brief, np.uint64)])
+    more, owner, fine = [], [], []
+    for d in np.flatnonzero((lengths > 0) & (lengths < FINER[0][0])).tolist():
+        text = raw[at[d] : at[d + 1]].tobytes()
+        for i, window in finer_features(text) or ([(0, text)] if windows[d] == 0 else []):
+            more.append(int(at[d]) + i)
+            owner.append(d)
+            fine.append(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"))
+    if more:
+        chosen, doc = np.concatenate([chosen, np.array(more)]), np.concatenate([doc, np.array(owner)])
+        h = np.concatenate([h, np.array(fine, np.uint64)])
     order = np.lexsort((chosen, h, doc))
     chosen, doc, h = chosen[order], doc[order], h[order]
     first = np.ones(len(h), bool)
@@ -241,6 +275,7 @@ def _compare(batches, limit: int = 1 << 19):
             held, size = [], 0
         held.append(row)
         size += len(row[4])
+    release()
 
 
 def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,7 +287,7 @@ def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     docs = picked(df, doc_id=(doc_id, T.LongType()), text=(text, T.StringType()))
     n = partitions(docs)
     key = F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
-    wanted = min(4 * n, 8192)
+    wanted = min(4 * n, MOST_RANGES)
     cuts = docs.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 10 * wanted).alias("q")).first()["q"] or []
     bucket = search_sorted(key, sorted(set(cuts)))
     firsts = {r["b"]: r["k"] for r in docs.select(bucket.alias("b"), key.alias("k")).groupBy("b").agg(F.min("k").alias("k")).collect()}
@@ -274,5 +309,6 @@ def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         )
     )
     spread = home.select(F.explode(places).alias("p"), "k", "doc_id", "text").select("p.bucket", "p.wrap", "p.guard", "k", "doc_id", "text")
-    sorted_rows = spread.repartition(n, "bucket").sortWithinPartitions("bucket", "wrap", "guard", "k", "text")
+    last = F.col("doc_id").isNull()
+    sorted_rows = spread.repartition(n, "bucket").sortWithinPartitions("bucket", "wrap", "guard", "k", last, "text")
     return sorted_rows.select("bucket", "wrap", "guard", "doc_id", "text").mapInArrow(_compare, NEAR_SCHEMA)

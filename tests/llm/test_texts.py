@@ -60,6 +60,100 @@ def test_likeness():
     assert fp.likeness(a, b) == fp.likeness(b, a)
 
 
+def plain_digest(text: bytes) -> bytes:
+    """Features in text order, 160 a filter, five bits a feature."""
+    mask = (1 << 64) - 1
+
+    def mixed(x: int) -> int:
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & mask
+        x = (x ^ x >> 29) * 0xA3B195354A39B70D & mask
+        return x ^ x >> 32
+
+    own = []
+    for i in plain_features(text) if len(text) >= 64 else []:
+        h = 0x9E3779B97F4A7C15
+        for k in range(8):
+            h = mixed(h ^ int.from_bytes(text[i + 8 * k : i + 8 * k + 8], "little"))
+        own.append((i, h))
+    own += [(i, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for i, w in plain_finer(text)]
+    first: dict[int, int] = {}
+    for i, h in own:
+        first[h] = min(i, first.get(h, i))
+    ordered = [h for h, _ in sorted(first.items(), key=lambda x: (x[1], x[0]))]
+    out = b""
+    for a in range(0, len(ordered), 160):
+        bits = {h >> 11 * k & 2047 for h in ordered[a : a + 160] for k in range(5)}
+        out += bytes(sum(1 << 7 - j for j in range(8) if 8 * b + j in bits) for b in range(256))
+    return out
+
+
+def plain_finer(text: bytes) -> list[tuple[int, bytes]]:
+    import math
+
+    out = []
+    for below, width, usual in fp.FINER:
+        if len(text) >= below or len(text) < width:
+            continue
+        ranks = []
+        for i in range(len(text) - width + 1):
+            w = text[i : i + width]
+            total = sum(round(math.log2(w.count(b)) * fp.FIXED) for b in w)
+            e = 1000 - total * 1000 // int(width * math.log2(width) * fp.FIXED)
+            ranks.append(1001 if e < fp.LEAST else round(1000 * math.exp(-(((e - usual) / fp.SPREAD) ** 2) / 2)))
+        votes = [0] * len(ranks)
+        for j in range(len(ranks)):
+            span = ranks[j : j + width]
+            votes[j + span.index(min(span))] += 1
+        out += [(i, text[i : i + width]) for i, v in enumerate(votes) if v >= max(1, width // 4)]
+    return out or ([(0, text)] if 0 < len(text) < 4 else [])
+
+
+def plain_likeness(a: bytes, b: bytes) -> float:
+    if a == b or not a or not b:
+        return float(a == b)
+    sets = lambda d: [{i for i in range(2048) if d[256 * f + i // 8] >> 7 - i % 8 & 1} for f in range(len(d) // 256)]
+    x, y = sets(a), sets(b)
+
+    def towards(x, y):
+        score = sum(len(p) * max(0.0, *((len(p & q) - len(p) * len(q) / 2048) / (min(len(p), len(q)) - len(p) * len(q) / 2048) for q in y)) for p in x)
+        return score / sum(map(len, x))
+
+    if len(x) == len(y):
+        return (towards(x, y) + towards(y, x)) / 2
+    return towards(x, y) if len(x) < len(y) else towards(y, x)
+
+
+def test_digests_and_likeness_equal_a_plain_version(corpus):
+    texts = [t.encode() for _, t, *_ in corpus if t and len(t) < 1500][:40] + [b"a", b"abc", b"abcd", b"ab" * 40]
+    got = fp.digests(*fp.joined(texts))
+    assert got == [plain_digest(t) for t in texts]
+    for a, b in zip(got, [*got[1:], got[0]]):
+        assert abs(fp.likeness(a, b) - plain_likeness(a, b)) < 1e-9
+
+
+def test_short_texts_keep_their_likeness():
+    """Texts of 40 to 600 bytes that are three quarters equal are seen as near, others aren't."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9)))
+    for size in (40, 60, 90, 105, 130, 250, 520, 600):
+        near, far = [], []
+        for _ in range(40):
+            a, b = (" ".join(word() for _ in range(150))[:size] for _ in range(2))
+            cut = size // 4
+            x, y, z = fp.digests(*fp.joined([a.encode(), (a[: size - cut] + b[:cut]).encode(), b.encode()]))
+            near.append(fp.likeness(x, y))
+            far.append(fp.likeness(x, z))
+        assert np.mean(near) > 0.45 and np.mean(near) > np.mean(far) + 0.35, size
+
+
+def test_one_long_text_among_short_ones(spark):
+    rnd = random.Random(8)
+    long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300_000))
+    rows = spark.createDataFrame([(1, "short one"), (2, long), (3, "short two")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fp.compare_edited(rows).collect()}
+    assert got[2]["n_chars"] == len(long) and got[2]["near_edited"] > 0.9 and got[2]["near_next"] < 0.6
+
+
 def test_edited_texts(spark, docs, corpus):
     got = {r["doc_id"]: r for r in fp.compare_edited(docs).collect()}
     order = sorted(corpus)

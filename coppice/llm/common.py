@@ -151,6 +151,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def release() -> None:
     """Gives freed memory back to the system: workers live on between tasks, beside the executor's own."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # another C library

@@ -50,6 +50,8 @@ TILE = 4096
 #: Pairs looked at together.
 STEP = 1 << 18
 BUCKETS = 1 << 22
+#: Crowded blocks whose keys are sent to all executors.
+MOST_CROWDED = 1 << 18
 
 
 def _pivots() -> np.ndarray:
@@ -211,6 +213,11 @@ def in_blocks(rows: DataFrame, m: int, radius: int, tree: bool) -> DataFrame:
     rows = rows.withColumn("tiles", tiles).withColumn("own", own).select("choice", "key", spread, "own", "node", "fp", "root")
     group = ["choice", "key", "ti", "tj"]
     rows = rows.select("choice", "key", "t.ti", "t.tj", "own", "node", "fp", "root")
+    return _meeting(rows, group, m, radius, tree)
+
+
+def _meeting(rows: DataFrame, group: list[str], m: int, radius: int, tree: bool) -> DataFrame:
+    """Pairs (a, b) that survive in each block: ``rows`` has the columns of ``group`` (its last two: tiles), own (tile), node, fp, root."""
 
     def run(batches):
         held = None
@@ -234,8 +241,8 @@ def in_blocks(rows: DataFrame, m: int, radius: int, tree: bool) -> DataFrame:
         new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(frame)))
-        across = values[2][first] != values[3][first]
-        left = np.add.reduceat((frame["own"].to_numpy() == values[2]).astype(np.int64), first)
+        across = values[-2][first] != values[-1][first]
+        left = np.add.reduceat((frame["own"].to_numpy() == values[-2]).astype(np.int64), first)
         fp, root, node = frame["fp"].to_numpy().view(np.uint64), frame["root"].to_numpy(), frame["node"].to_numpy()
         keep = ~across | ((left > 0) & (left < size))
         a, b = forest(fp, root, first[keep], size[keep], np.where(across, left, 0)[keep], radius, tree)
@@ -320,6 +327,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def described(docs: DataFrame, shingle: int, bits: int, count: int) -> DataFrame:
     """none, k, h (the row), d1, d2 (a 128-bit digest of its set of shingles), n (the set's size), fp and keys (its bands), stored."""
     words = -(-bits * count // 64)
+    number = np.arange(count, dtype=np.uint64) << np.uint64(48)  # bands have 48 bits at most
 
     def run(batches):
         for batch in batches:
@@ -332,7 +340,7 @@ def described(docs: DataFrame, shingle: int, bits: int, count: int) -> DataFrame
                 fps.append(np.packbits(long[:64]).view(np.uint64))
                 each = np.zeros((count, 64), bool)
                 each[:, 64 - bits :] = long[: bits * count].reshape(count, bits)
-                keys.append(np.packbits(each, axis=1).view(">u8").ravel().astype(np.uint64))
+                keys.append(np.packbits(each, axis=1).view(">u8").ravel().astype(np.uint64) | number)
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             fp = np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64)
             columns = [batch.column(i) for i in range(3)]
@@ -344,35 +352,60 @@ def described(docs: DataFrame, shingle: int, bits: int, count: int) -> DataFrame
 
 
 def against_the_first(rows: DataFrame, m: int, radius: int) -> DataFrame:
-    """Pairs (a, b) of each block's smallest node and its others that survive; ``rows`` has choice, key, node, fp. Blocks are streamed."""
+    """Pairs (a, b) of each block's smallest node and its others that survive, and as (key, -1) the blocks of more than ``TILE`` rows.
+
+    ``rows`` has key (the block), node, fp. Blocks are streamed, however large.
+    """
 
     def run(batches):
-        last = None  # choice, key, node, fp of the block that goes on
+        last, size = None, 0  # key, node, fp of the first row of the block that goes on, and its rows so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = np.array([c.to_numpy().astype(np.int64) for c in batch.columns])
+            cells = np.array([c.to_numpy() for c in batch.columns])
             if last is not None:
                 cells = np.concatenate([last, cells], 1)
             new = np.ones(cells.shape[1], bool)
-            new[1:] = (cells[:2, 1:] != cells[:2, :-1]).any(0)
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            new[1:] = cells[0, 1:] != cells[0, :-1]
+            heads = np.flatnonzero(new)
+            sizes = np.diff(np.append(heads, len(new)))
+            sizes[0] += max(0, size - 1)  # the block's first row is there again
+            crowded = sizes > TILE
+            head = heads[np.cumsum(new) - 1]
             rest = np.flatnonzero(~new)
-            last = cells[:, head[-1:]]
-            if len(rest):
-                fp = cells[3].view(np.uint64)
-                a, b = head[rest], rest
-                own, a_row = np.unique(a, return_inverse=True)
-                x, y = (np.bitwise_count(fp[i][:, None] ^ PIVOTS[None, :]).astype(np.int8) for i in (own, b))
-                at = np.arange(len(b))
-                i, j = linked(a_row, at, x, y, fp, radius, own, b)
-                yield pa.RecordBatch.from_arrays([pa.array(cells[2][own[i]]), pa.array(cells[2][b[j]])], names=["a", "b"])
+            last, size = cells[:, heads[-1:]], int(sizes[-1])
+            fp = cells[2].view(np.uint64)
+            own, a_row = np.unique(head[rest], return_inverse=True)
+            x, y = (np.bitwise_count(fp[i][:, None] ^ PIVOTS[None, :]).astype(np.int8) for i in (own, rest))
+            i, j = linked(a_row, np.arange(len(rest)), x, y, fp, radius, own, rest)
+            a, b = cells[1][own[i]], cells[1][rest[j]]
+            keys = cells[0][heads[crowded]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, keys])), pa.array(np.concatenate([b, np.full(len(keys), -1)]))], names=["a", "b"])
         release()
 
-    ordered = rows.select("choice", "key", "node", "fp").repartition(m, "choice", "key").sortWithinPartitions("choice", "key", "node")
+    ordered = rows.select("key", "node", "fp").repartition(m, "key").sortWithinPartitions("key", "node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def in_bands(rows: DataFrame, crowded: DataFrame, m: int, radius: int) -> DataFrame:
+    """All pairs (a, b) of nodes of different roots that meet in a block and survive: ``rows`` has key, node, fp, root.
+
+    ``crowded`` (key): blocks of more than ``TILE`` rows; their rows are spread over about TILE a part, and parts meet two
+    by two in tasks of their own.
+    """
+    few = crowded.count() <= MOST_CROWDED
+    known = F.broadcast(crowded) if few else crowded
+    n = stored(rows.select("key").join(known, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
+    tiles = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
+    rows = rows.join(F.broadcast(n) if few else n, "key", "left").withColumn("tiles", tiles)
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    lower = lambda t: F.struct(F.least(t, F.col("own")).alias("ti"), F.greatest(t, F.col("own")).alias("tj"))
+    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lower)).alias("t")
+    rows = rows.withColumn("own", own).select("key", spread, "own", "node", "fp", "root")
+    rows = rows.select("key", "t.ti", "t.tj", "own", "node", "fp", "root")
+    return _meeting(rows, ["key", "ti", "tj"], m, radius, tree=False)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, own) of the sets of the rows ``wanted`` (none, k, h, node), stored. Other texts are passed over by a table of bits, not shuffled."""
     bucket = F.pmod("h", F.lit(BUCKETS))
@@ -423,18 +456,19 @@ def similar_rows(df: DataFrame, shingle: int = WORDS, least: tuple[int, int] = L
     firsts = equal.select("d1", "d2", "first.none", "first.k", "first.h")
     nodes = rows.join(firsts, ["d1", "d2", "none", "k", "h"]).dropDuplicates(["d1", "d2"])
     nodes = stored(stored(nodes).withColumn("node", F.monotonically_increasing_id()))  # as written, rows keep their numbers
-    laid = nodes.select(F.posexplode("keys").alias("choice", "key"), "node", "fp")
-    near = verified(docs, against_the_first(laid, m, radius), nodes, shingle, least)
+    met = stored(against_the_first(nodes.select(F.explode("keys").alias("key"), "node", "fp"), m, radius))
+    near = verified(docs, met.where("b >= 0"), nodes, shingle, least)
     roots = components(near)
-    rooted = laid.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = verified(docs, in_blocks(rooted, m, radius, tree=False), nodes, shingle, least)
+    rooted = nodes.select("keys", "node", "fp").join(roots, "node", "left").select(F.explode("keys").alias("key"), "node", "fp", F.coalesce("root", "node").alias("root"))
+    crowded = met.where("b < 0").select(F.col("a").alias("key"))
+    more = verified(docs, in_bands(rooted, crowded, m, radius), nodes, shingle, least)
     roots = components(near.union(more))
     named = nodes.select("node", "d1", "d2", "none", "k", "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min(F.struct("none", "k", "h")).alias("first"))
     labels = stored(named.select("root", "d1", "d2").join(smallest, "root").select("d1", "d2", "first").join(equal.select("d1", "d2", "_n"), ["d1", "d2"]).select(F.struct("d1", "d2").alias("d"), "first", "_n"))
     found = join_with_hot_keys(rows.select("none", "k", "h", F.struct("d1", "d2").alias("d")), labels, "d")
     gone = stored(found.where(F.struct("none", "k", "h") != F.col("first")).select("none", "k", "h").distinct())
-    discard(rows, equal, nodes, near, more, labels)
+    discard(rows, equal, nodes, met, near, more, labels)
     return gone
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm.common import LAST_ID, mix64, partitions, ranges, text_buffers
+from coppice.llm.common import LAST_ID, mix64, partitions, ranges, release, text_buffers
 
 LENGTH, HOT = 100, 50_000
 BLOCK = 1 << 17
@@ -492,6 +492,38 @@ def _finish(kept_columns: list[str], schema: T.StructType, as_text: bool):
     return run
 
 
+def _freeing_keyed(run):
+    """``run``, after which the worker gives its memory back; Spark tells functions apart by their arguments."""
+
+    def outer(key, table):
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    return outer
+
+
+def _freeing_pair(run):
+    def outer(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return outer
+
+
+def _freeing_one(run):
+    def outer(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return outer
+
+
 def remove_repeats(df: DataFrame, length: int = LENGTH, hot: int = HOT, as_text: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df``'s other columns with n_bytes, n_removed, n_spans and kept: the remaining text (a character that lost a byte
     goes whole), or with ``as_text`` off the SHA-256 of the remaining bytes."""
@@ -512,9 +544,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, hot: int = HOT, as_text:
     own = own.withColumn("h", F.when(F.col("none"), digest).otherwise(digest + F.lit(-(1 << 63)))).drop("none").withColumn("p", F.pmod(F.xxhash64("k", "h"), F.lit(groups)).cast("int"))
     texts = own.repartition(n, "p")
     grouped = texts.groupBy("p")
-    known = grouped.applyInArrow(_list_anchors(bits, length), ANCHORS).groupBy("shard").applyInArrow(_known_anchors(hot), KNOWN)
-    sent = grouped.cogroup(known.groupBy("p")).applyInArrow(_send_segments(bits + SPREAD, length), SENT)
-    found = sent.groupBy("kind", "idx").applyInArrow(_match(length), FOUND)
+    known = grouped.applyInArrow(_freeing_one(_list_anchors(bits, length)), ANCHORS).groupBy("shard").applyInArrow(_known_anchors(hot), KNOWN)
+    sent = grouped.cogroup(known.groupBy("p")).applyInArrow(_freeing_pair(_send_segments(bits + SPREAD, length)), SENT)
+    found = sent.groupBy("kind", "idx").applyInArrow(_freeing_keyed(_match(length)), FOUND)
     kept = T.StructType(
         [
             *(T.StructField(s, f.dataType) for s, f in zip(safe, others)),
@@ -524,7 +556,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, hot: int = HOT, as_text:
             T.StructField("kept", T.StringType()),
         ]
     )
-    done = grouped.cogroup(found.groupBy("p")).applyInArrow(_finish(safe, kept, as_text), kept)
+    done = grouped.cogroup(found.groupBy("p")).applyInArrow(_freeing_pair(_finish(safe, kept, as_text)), kept)
     return done.select(*(F.col(s).alias(f.name) for s, f in zip(safe, others)), "n_bytes", "n_removed", "n_spans", "kept")
 
 

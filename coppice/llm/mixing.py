@@ -6,13 +6,15 @@ further repetition at a higher cost, so the flow of least cost repeats as little
 documents are selected: a pattern's full rounds take every document; of the last round, documents are taken in the
 order of a seeded digest until its tokens are used up, the marginal document in part.
 
-The network has one node per pattern and per source and is solved on the driver; ``MOST_PATTERNS`` bounds it (beyond,
-an error says so). Per-document state never leaves the executors, and a source with most of the rows is cut by digest
-buckets, not sorted in one task.
-
-Defined cases: null and empty texts have size 0 and are never taken; a null source is a source of its own, last in
-order; repeated rows are separate documents (ties in the order fall to doc_id, then size; equal rows share alike but
-for the marginal one); an empty table gives no rows; if no words exist, every target is 0.
+The network has one node per pattern and per source and is solved on the driver; ``MOST_PATTERNS`` bounds it. Where every
+document has one source, each pattern gives its source's quota and no network is needed: then ``MOST_SOURCES`` bounds the
+sources (beyond either bound an error says so). Per-document state never leaves the executors, and a source with most of
+the rows is cut by buckets of a digest of (doc_id, size), not sorted in one task.
+
+Defined cases: null and empty texts have size 0 and are never taken; texts of any length are counted whole; a null source
+is a source of its own, last in order; repeated rows are separate documents (ties in the order fall to doc_id, then size;
+equal rows share alike but for the marginal one); other columns, whatever their names, play no part; an empty table
+gives no rows; if no words exist, every target is 0.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from coppice.llm.common import LAST_ID, picked, stored
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, "mix-1"
-MOST_PATTERNS = 10_000
+MOST_PATTERNS, MOST_SOURCES = 10_000, 200_000
 BUCKETS = 4096
 
 
@@ -36,16 +38,16 @@ def targets(sizes: Sequence[int], weights: Sequence[int], repeats: int = REPEATS
     """Shares of the sum of ``sizes`` by weight, each at most ``repeats`` times its size, the excess reshared."""
     out = [Fraction(0)] * len(sizes)
     free, rest = sorted(range(len(sizes)), key=lambda i: Fraction(repeats * sizes[i], weights[i])), Fraction(sum(sizes))
-    weight = sum(weights)
-    while free:
-        i = free[0]
+    weight, at = sum(weights), 0
+    while at < len(free):
+        i = free[at]
         if repeats * sizes[i] * weight > rest * weights[i]:
             break
         out[i] = Fraction(repeats * sizes[i])
         rest -= out[i]
         weight -= weights[i]
-        free.pop(0)
-    for i in free:
+        at += 1
+    for i in free[at:]:
         out[i] = rest * weights[i] / weight
     return out
 
@@ -106,25 +108,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEAT
     ``docs`` is read several times and should be stored.
     """
     spark = docs.sparkSession
-    sizes = docs.groupBy("members").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(sizes) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns; group sources first")
+    sizes = docs.groupBy("members").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).toArrow().to_pylist()
     capacity = {tuple(r["members"]): int(r["n"]) for r in sizes}
+    apart = all(len(p) == 1 for p in capacity)
+    if len(capacity) > (MOST_SOURCES if apart else MOST_PATTERNS):
+        raise ValueError("too many membership patterns; group sources first")
     names = ordered_sources(list({s for p in capacity for s in p}))
-    size = {s: sum(c for p, c in capacity.items() if s in p) for s in names}
+    size = dict.fromkeys(names, 0)
+    for p, c in capacity.items():
+        for s in set(p):
+            size[s] += c
     share = dict(zip(names, targets([size[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], repeats)))
     if len(names) and sum(size.values()) != sum(capacity.values()):  # overlaps: shares of the documents, not of memberships
         total = Fraction(sum(capacity.values()), max(1, sum(size.values())))
         share = {s: t * total for s, t in share.items()}
     quota = {s: int(t + Fraction(1, 2)) for s, t in share.items()}
-    given = route(capacity, quota, repeats)
+    given = {p: quota[p[0]] for p in capacity} if apart else route(capacity, quota, repeats)
     rows = []
     for p, c in capacity.items():
         rounds, rest = divmod(given[p], c) if c else (0, 0)
         first = p[0] if p else None
         rows.append((list(p), rounds, rest, size.get(first, 0), float(share.get(first, 0))))
     plan = spark.createDataFrame(rows, "p array<string>, rounds long, rest long, source_size long, target double")
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string")))
     bucket = F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
     planned = docs.withColumn("digest", digest).withColumn("bucket", bucket).join(F.broadcast(plan), F.expr("members <=> p")).drop("p")
     by_bucket = planned.groupBy("members", "bucket", "rest").agg(F.sum("size").alias("n"))
@@ -163,18 +169,18 @@ def mix_documents(df: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int
 def materialise(df: DataFrame, taken: DataFrame, source: str = "source") -> DataFrame:
     """``df``'s rows in the mix: each document as many times as it is taken, to the nearest whole number.
 
-    ``taken`` has one row per document with doc_id, size and taken; a row of ``df`` is met by id and, for repeated ids,
-    by size order within it.
+    ``taken`` has one row per document with doc_id, size and taken. A row of ``df`` is met by id and size; of rows alike in both,
+    those of smaller text digests get the smaller numbers, so reruns agree.
     """
-    own = df.columns
-    twin = Window.partitionBy("_id").orderBy("_n")
-    left = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn("_n", word_count(F.col("text")))
-    left = left.withColumn("_i", F.row_number().over(twin))
+    key = ["_none", "_id", "_n"]
+    named = lambda c: (c.isNull().alias("_none"), F.coalesce(c.cast("long"), F.lit(0)).alias("_id"))
+    left = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *named(F.col("doc_id")), word_count(F.col("text")).alias("_n"))
+    left = left.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row.text"))))
     copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    right = taken.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("size").alias("_n"), copies.alias("_copies"))
-    right = right.withColumn("_i", F.row_number().over(twin)).where("_copies > 0").select("_id", "_i", "_copies")
-    met = left.join(right, ["_id", "_i"])
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*own)
+    right = taken.select(*named(F.col("doc_id")), F.col("size").alias("_n"), copies.alias("_copies"))
+    right = right.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("_copies"))).where("_copies > 0")
+    met = left.join(right, [*key, "_i"])
+    return met.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 #: The query in DuckDB SQL. A capped source is one of the first in order of size over weight.
@@ -191,6 +197,6 @@ shares AS (SELECT run.source, run.n, CASE WHEN base.r IS NULL OR run.r < base.r
   FROM run LEFT JOIN base ON true),
 quotas AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM shares),
 placed AS (SELECT d.doc_id, d.size, q.n AS source_size, q.target, q.quota,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || CAST(d.size AS VARCHAR)), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size + least(size, greatest(0, quota % source_size - before)) END AS BIGINT) AS taken FROM placed"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -126,6 +127,36 @@ def test_overlapping_sources(spark):
     df = spark.createDataFrame(rows, "doc_id long, size long, members array<string>")
     out = mixing.mix(df, (1, 1)).toPandas()
     assert abs(out.taken.sum() - 3000) <= 1 and (out.taken <= 30).all() and len(out) == 300
+    assert (out.taken == 10).all()  # quotas that can be met without repeats are
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_routes_repeat_least(seed):
+    """Against all ways to fill the quotas: the largest flow first, then the least cost."""
+    rnd = random.Random(seed)
+    patterns = rnd.sample([("a",), ("b",), ("a", "b")], rnd.randrange(1, 4))
+    capacity = {p: rnd.randrange(0, 5) for p in patterns}
+    quota = {s: rnd.randrange(0, 8) for s in "ab"}
+    cost = lambda given: sum(min(max(g - k * c, 0), c) * (2**k - 1) for g, c in given for k in range(3))
+    best = None
+    for gives in product(*(range(3 * capacity[p] + 1) for p in patterns)):
+        for to_a in range(sum(gives) + 1):  # tokens of overlapping documents that go to a
+            both = sum(g for p, g in zip(patterns, gives) if len(p) == 2)
+            if to_a > both:
+                break
+            a = to_a + sum(g for p, g in zip(patterns, gives) if p == ("a",))
+            b = both - to_a + sum(g for p, g in zip(patterns, gives) if p == ("b",))
+            if a <= quota["a"] and b <= quota["b"]:
+                found = (-(a + b), cost([(g, capacity[p]) for p, g in zip(patterns, gives)]))
+                best = found if best is None else min(best, found)
+    given = mixing.route(capacity, quota)
+    assert (-sum(given.values()), cost([(given[p], capacity[p]) for p in patterns])) == best
+
+
+def test_many_sources(spark):
+    df = spark.range(30_000).selectExpr("id AS doc_id", "CAST(1 + id % 7 AS LONG) AS size", "array(CAST(id % 15000 AS STRING)) AS members")
+    out = mixing.mix(df).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"), F.max(F.col("taken") / F.col("size")).alias("m"), F.count("*").alias("n")).first()
+    assert out["n"] == 30_000 and out["m"] <= 3 and abs(out["t"] - out["s"]) < 8_000
 
 
 def test_mix_equals_sql(spark, docs, odd, empty):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +19,37 @@ def distinct_counts(df: DataFrame, features: str = "features") -> DataFrame:
     return df.select(F.posexplode(features).alias("feature", "value")).groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
+class Thresholds:
+    """Thresholds of one feature from its distinct values in ascending order, which may come in parts.
+
+    At most ``most`` midpoints of neighbouring values: all, if there are no more of them, or those where the running count
+    has come nearest to the next multiple of the stride; no more than one a value.
+    """
+
+    def __init__(self, distinct: int, total: float, most: int) -> None:
+        self.every = distinct - 1 <= most
+        self.stride = self.target = total / (most + 1)
+        self.last: float | None = None
+        self.running = 0
+        self.found: list[float] = []
+
+    def add(self, values: Sequence[float], counts: Sequence[int]) -> None:
+        for value, n in zip(values, counts):
+            before, self.running = self.running, self.running + n
+            if self.last is not None:
+                if self.every:
+                    self.found.append((self.last + value) / 2)
+                elif abs(before - self.target) < abs(self.running - self.target):
+                    self.found.append((self.last + value) / 2)
+                    self.target += self.stride
+            self.last = value
+
+
 def thresholds(values: Sequence[float], counts: Sequence[int], most: int) -> list[float]:
-    """At most ``most`` midpoints of neighbouring values: all, or those where the running count has come nearest to the
-    next multiple of the stride; no more than one a value."""
-    if len(values) - 1 <= most:
-        return [(a + b) / 2 for a, b in zip(values, values[1:])]
-    stride = sum(counts) / (most + 1)
-    out, running, target = [], counts[0], stride
-    for i in range(1, len(values)):
-        before, running = running, running + counts[i]
-        if abs(before - target) < abs(running - target):
-            out.append((values[i - 1] + values[i]) / 2)
-            target += stride
-    return out
+    """The thresholds of one feature at once."""
+    out = Thresholds(len(values), sum(counts), most)
+    out.add(values, counts)
+    return out.found
 
 
 def sample_share(num_rows: int, max_bins: int) -> float:
@@ -59,13 +78,27 @@ def find_thresholds(df: DataFrame, meta: Metadata, seed: int, custom: Sequence[S
         counted = counted.where(F.col("feature").isin(continuous))
     most = meta.max_bins - 1
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("value")
-        cut = thresholds(frame["value"].tolist(), frame["n"].tolist(), most)
-        return pd.DataFrame({"feature": [frame["feature"].iloc[0]], "cut": [cut]})
-
-    for r in counted.groupBy("feature").applyInPandas(fold, "feature int, cut array<double>").collect():
-        out[r["feature"]] = list(r["cut"])
+    counted = counted.persist()
+    try:
+        sizes = {r["feature"]: (r["distinct"], r["total"]) for r in counted.groupBy("feature").agg(F.count("*").alias("distinct"), F.sum("n").alias("total")).collect()}
+
+        def fold(batches):
+            """Sorted values of whole features, as they stream by: no task holds more than a batch and the thresholds."""
+            own: dict[int, Thresholds] = {}
+            for batch in batches:
+                feature, value, n = (batch.column(i).to_numpy() for i in range(3))
+                cuts = np.append(np.flatnonzero(np.diff(feature, prepend=-1)), len(feature))
+                for a, z in zip(cuts, cuts[1:]):
+                    f = int(feature[a])
+                    own.setdefault(f, Thresholds(*sizes[f], most)).add(value[a:z].tolist(), n[a:z].tolist())
+            lists = [own[f].found for f in own]
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(lists, pa.list_(pa.float64()))], names=["feature", "cut"])
+
+        ordered = counted.select(F.col("feature").cast("int").alias("feature"), F.col("value").cast("double").alias("value"), "n").repartition("feature").sortWithinPartitions("feature", "value")
+        for r in ordered.mapInArrow(fold, "feature int, cut array<double>").collect():
+            out[r["feature"]] = list(r["cut"])
+    finally:
+        counted.unpersist()
     return out
 
 

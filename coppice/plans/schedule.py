@@ -42,14 +42,30 @@ class Bin:
 
 
 def pack(tasks: Iterable[Task], capacity: float, most_tasks: int = 1 << 31, time: TimePrediction = by_rows) -> list[Bin]:
-    """First fit by falling rows; the bins by falling predicted time. A task larger than a bin is an error."""
+    """First fit by falling rows; the bins by falling predicted time. A task larger than a bin is an error.
+
+    A tree of the largest room below each of its nodes leads to the first bin that fits.
+    """
+    ordered = sorted(tasks, key=lambda t: -t.rows)
+    leaves = 1
+    while leaves < len(ordered):
+        leaves *= 2
+    room = [float(capacity)] * (2 * leaves)
     bins: list[Bin] = []
-    for task in sorted(tasks, key=lambda t: -t.rows):
+    for task in ordered:
         if task.rows > capacity or most_tasks < 1:
             raise ValueError(f"a task of {task.rows} rows doesn't fit a bin of {capacity} rows and {most_tasks} tasks")
-        if not any(b.fit(task) for b in bins):
+        at = 1
+        while at < leaves:
+            at = 2 * at + (room[2 * at] < task.rows)
+        if at - leaves == len(bins):
             bins.append(Bin(capacity, most_tasks))
-            bins[-1].fit(task)
+        own = bins[at - leaves]
+        own.fit(task)
+        room[at] = own.capacity - own.rows if len(own.tasks) < most_tasks else -1.0
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
     return sorted(bins, key=lambda b: -sum(time(t.rows, t.impurity) for t in b.tasks))
 
 

@@ -16,6 +16,20 @@ def plain(sizes: dict, capacity: int, most: int) -> dict:
     return {t.node: i for i, b in enumerate(bins) for t in b.tasks}
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_packing_is_first_fit(seed):
+    rnd = random.Random(seed)
+    most, tasks = rnd.randrange(1, 6), [Task(0, k, rnd.choice([0, 1, 2.5, 7, 30]), 0.0) for k in range(rnd.randrange(0, 80))]
+    bins: list[list[Task]] = []
+    for t in sorted(tasks, key=lambda t: -t.rows):
+        home = next((b for b in bins if sum(x.rows for x in b) + t.rows <= 31 and len(b) < most), None)
+        if home is None:
+            bins.append([t])
+        else:
+            home.append(t)
+    assert [b.tasks for b in pack(tasks, 31, most)] == sorted(bins, key=lambda b: -sum(t.rows for t in b))
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_histogram_packs_like_tasks(seed):
     rnd = random.Random(seed)

@@ -44,6 +44,8 @@ SHINGLE, RADIUS = 4, 4
 #: Of similar_rows: words of a shingle, least similarity, probability to meet a pair at just that similarity, and the radius on
 #: the first 64 bits (such a pair differs there in 9.7 bits, +- 2.9).
 WORDS, LEAST, RECALL, WIDE = 5, (4, 5), 0.95, 18
+#: 64-bit parts of the longer print by which survivors are looked at before whole sets are sent, and the deviations allowed there.
+PARTS, DEVIATIONS = 5, 4.5
 #: Bits of a band: so many at least, or so many fewer than the rows' number has.
 BAND_BITS, BAND_SHORT = 16, 2
 TILE = 4096
@@ -301,13 +303,21 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bands(n: int, least: tuple[int, int] = LEAST, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a band, bands) for ``n`` rows: two sets of similarity ``least`` share a band with probability ``recall``.
-
-    Such sets have a cosine of 2 t / (1 + t), t the similarity, and agree in a majority bit with 1 - angle / pi.
-    """
+def agreement(least: tuple[int, int]) -> float:
+    """With which probability two sets of a similarity t agree in a majority bit: their cosine is 2 t / (1 + t), and it is 1 - angle / pi."""
     t = least[0] / least[1]
-    agree = 1 - math.acos(min(1.0, 2 * t / (1 + t))) / math.pi
+    return 1 - math.acos(min(1.0, 2 * t / (1 + t))) / math.pi
+
+
+def most_bits(parts: int, least: tuple[int, int]) -> float:
+    """Bits of so many parts in which sets that similar differ at most, but for DEVIATIONS."""
+    n, p = 64 * parts, agreement(least)
+    return n * (1 - p) + DEVIATIONS * math.sqrt(n * p * (1 - p))
+
+
+def bands(n: int, least: tuple[int, int] = LEAST, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a band, bands) for ``n`` rows: two sets of similarity ``least`` share a band with probability ``recall``."""
+    agree = agreement(least)
     bits = min(48, max(BAND_BITS, math.ceil(math.log2(max(2, n))) - BAND_SHORT))
     return bits, 1 if agree == 1 else math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
@@ -325,30 +335,31 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def described(docs: DataFrame, shingle: int, bits: int, count: int) -> DataFrame:
-    """none, k, h (the row), d1, d2 (a 128-bit digest of its set of shingles), n (the set's size), fp and keys (its bands), stored."""
+    """none, k, h (the row), d1, d2 (a 128-bit digest of its set of shingles), n (the set's size), fp, wide (parts of the print) and keys (its bands), stored."""
     words = -(-bits * count // 64)
     number = np.arange(count, dtype=np.uint64) << np.uint64(48)  # bands have 48 bits at most
 
     def run(batches):
         for batch in batches:
-            digests, sizes, fps, keys = [], [], [], []
+            digests, sizes, fps, wide, keys = [], [], [], [], []
             for text in _texts(batch):
                 own = np.unique(_hashes(text, shingle))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
                 long = long_print(own, words)
                 fps.append(np.packbits(long[:64]).view(np.uint64))
+                wide.append(np.packbits(long[: 64 * PARTS]).view(np.uint64))
                 each = np.zeros((count, 64), bool)
                 each[:, 64 - bits :] = long[: bits * count].reshape(count, bits)
                 keys.append(np.packbits(each, axis=1).view(">u8").ravel().astype(np.uint64) | number)
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             fp = np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64)
             columns = [batch.column(i) for i in range(3)]
-            columns += [pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(sizes, pa.int64()), pa.array(fp), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, names=["none", "k", "h", "d1", "d2", "n", "fp", "keys"])
+            columns += [pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(sizes, pa.int64()), pa.array(fp), _lists(wide), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["none", "k", "h", "d1", "d2", "n", "fp", "wide", "keys"])
         release()
 
-    return stored(docs.select("none", "k", "h", "text").mapInArrow(run, "none boolean, k long, h long, d1 long, d2 long, n long, fp long, keys array<long>"))
+    return stored(docs.select("none", "k", "h", "text").mapInArrow(run, "none boolean, k long, h long, d1 long, d2 long, n long, fp long, wide array<long>, keys array<long>"))
 
 
 def against_the_first(rows: DataFrame, m: int, radius: int) -> DataFrame:
@@ -427,11 +438,16 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough, stored; ``nodes``: node, none, k, h, n (size). Sizes alone rule some out."""
+    """The pairs (a, b) whose whole sets are similar enough, stored; ``nodes``: node, none, k, h, n (size), wide.
+
+    Sizes rule some out, and so do the bits of several parts of the print, before whole sets are sent.
+    """
     up, down = least
-    size = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
-    pairs = stored(sized.select("a", "b"))
+    known = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    met = pairs.join(known("a"), "a").join(known("b"), "b")
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (F.least("na", "nb") * down >= F.greatest("na", "nb") * up) & (bits <= F.get(F.lit([most_bits(i, least) for i in range(PARTS + 1)]), F.size("wa")))
+    pairs = stored(met.where(near).select("a", "b"))
     wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes, "node").select("none", "k", "h", "node"))
     sets = whole_sets(docs, wanted, shingle)
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")

@@ -101,6 +101,19 @@ def test_bands():
     assert 1 - (1 - 0.8485**bits) ** count >= 0.94
 
 
+def test_bits_allow_what_similar_sets_need():
+    """Sets of similarity 0.8 hardly ever differ in more bits than allowed, sets of 0.4 nearly always do."""
+    rng = np.random.default_rng(9)
+    most = simhash.most_bits(simhash.PARTS, simhash.LEAST)
+    for common, lone, few in ((80, 10, True), (80, 60, False), (4, 0, True)):
+        over = 0
+        for _ in range(200):
+            shared, x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (common, lone, max(lone, 1)))
+            a, b = (simhash.long_print(np.sort(np.append(shared, z)), simhash.PARTS) for z in (x, y))
+            over += np.sum(a != b) > most
+        assert over <= 1 if few else over >= 190
+
+
 def test_long_prints_agree_as_told():
     rng = np.random.default_rng(3)
     agree = []

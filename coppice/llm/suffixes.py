@@ -460,6 +460,12 @@ def _replies(p: np.ndarray, doc: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa
     return _table([(int(n), _blob(rows[s:e])) for n, s, e in zip(names, cut, cut[1:])], FOUND)
 
 
+def counted(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of ``flags`` are set in each slice at[i]:at[i + 1]; no slice is widened to eight bytes a flag."""
+    cut = at.tolist()
+    return np.array([np.count_nonzero(flags[a:z]) for a, z in zip(cut, cut[1:])], np.int64)
+
+
 def _finish(kept_columns: list[str], schema: T.StructType, as_text: bool):
     names = [f.name for f in schema]
 
@@ -470,23 +476,27 @@ def _finish(kept_columns: list[str], schema: T.StructType, as_text: bool):
             rows = np.frombuffer(x.as_py(), np.int64).reshape(-1, 3)
             np.add.at(edge, group.at[rows[:, 0]] + rows[:, 1], 1)
             np.add.at(edge, group.at[rows[:, 0]] + rows[:, 2], -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        np.cumsum(edge, dtype=np.int32, out=edge)
+        gone = edge[:-1] > 0
+        del edge
         rises = gone.copy()
         rises[1:] &= ~gone[:-1]
         inner = group.at[:-1][np.diff(group.at) > 0]
         rises[inner] = gone[inner]
-        count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[group.at])
-        removed, n_spans = count(gone), count(rises)
-        left_at = group.at - np.concatenate([[0], np.cumsum(gone)])[group.at]
-        left_raw = group.raw[~gone].tobytes()
+        removed, n_spans = counted(gone, group.at), counted(rises, group.at)
+        del rises
+        left_at = np.concatenate([[0], np.cumsum(np.diff(group.at) - removed)])
+        left_raw = memoryview(group.raw[~gone])
+        sizes, r = np.diff(group.at), group.row
+        del gone, group
         cut = left_at.tolist()
+        each = (left_raw[cut[i] : cut[i + 1]] for i in r.tolist())
         if as_text:
-            kept = [left_raw[a:z].decode("utf-8", "ignore") for a, z in zip(cut, cut[1:])]
+            kept = (str(x, "utf-8", "ignore") for x in each)
         else:
-            kept = [hashlib.sha256(left_raw[a:z]).hexdigest() for a, z in zip(cut, cut[1:])]
-        r = group.row
+            kept = (hashlib.sha256(x).hexdigest() for x in each)
         columns = [left.column(c) for c in kept_columns]
-        columns += [pa.array(np.diff(group.at)[r]), pa.array(removed[r].astype(np.int64)), pa.array(n_spans[r].astype(np.int64)), pa.array(kept, pa.string()).take(pa.array(r))]
+        columns += [pa.array(sizes[r]), pa.array(removed[r]), pa.array(n_spans[r]), pa.array(kept, pa.string(), size=len(r))]
         return pa.table(columns, names=names)
 
     return run

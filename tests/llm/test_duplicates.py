@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coppice.llm import simhash, suffixes
 
@@ -252,3 +255,20 @@ def test_kept_text_and_odd_rows(odd, empty, spark):
     df = spark.createDataFrame([(2, p + "!", 7), (1, "x" + p, 8)], "doc_id long, text string, kept int")
     got = {r["doc_id"]: r for r in suffixes.remove_repeats(df.withColumnRenamed("kept", "other")).collect()}
     assert got[1]["n_removed"] > 0 and got[1]["kept"].startswith("x") and got[2]["kept"] == "!" and got[2]["other"] == 7
+
+
+def test_last_step_holds_few_bytes_a_byte_of_text():
+    texts = ["é" + "x" * 9_999] * 400
+    left = pa.table({"k": np.arange(400), "h": np.zeros(400, np.int64), "text": pa.array(texts, pa.string()), "c0": np.arange(400)})
+    found = np.array([(d, 1, 101) for d in range(0, 400, 2)] + [(d, 51, 200) for d in range(0, 400, 2)], np.int64)
+    right = pa.table({"parts": pa.array([found.tobytes()], pa.binary())})
+    fields = [T.StructField(n, T.LongType()) for n in ("c0", "n_bytes", "n_removed", "n_spans")]
+    run = suffixes._finish(["c0"], T.StructType([*fields, T.StructField("kept", T.StringType())]), True)
+    tracemalloc.start()
+    out = run(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(len(t.encode()) for t in texts)
+    assert out.column("n_removed").to_pylist() == [199, 0] * 200
+    assert out.column("n_spans").to_pylist() == [1, 0] * 200
+    assert out.column("kept").to_pylist() == ["x" * 9_801, texts[0]] * 200  # the é lost a byte

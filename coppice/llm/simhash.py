@@ -417,24 +417,41 @@ def in_bands(rows: DataFrame, crowded: DataFrame, m: int, radius: int) -> DataFr
     return _meeting(rows, ["key", "ti", "tj"], m, radius, tree=False)
 
 
+def bucket():
+    """The bucket of a row (none, k, h)."""
+    return F.pmod(F.xxhash64("none", "k", "h"), F.lit(BUCKETS))
+
+
+def bucket_bits(rows: DataFrame) -> DataFrame:
+    """(w, bits): the buckets of ``rows``, 64 to a row: ``BUCKETS`` / 64 rows at most."""
+    return rows.select(bucket().alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits"))
+
+
+def without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose (none, k, h) aren't in ``gone`` (stored). Those whose bucket no row of ``gone`` has stay where they are, unshuffled."""
+    placed = keyed.withColumn("b", bucket()).withColumn("w", F.expr("b div 64")).join(F.broadcast(bucket_bits(gone)), "w", "left")
+    placed = placed.withColumn("met", F.coalesce(F.expr("shiftrightunsigned(bits, CAST(b % 64 AS INT)) & 1L = 1L"), F.lit(False)))
+    met, clear = (placed.where(c).select(*keyed.columns) for c in (F.col("met"), ~F.col("met")))
+    return clear.unionByName(met.join(gone, ["none", "k", "h"], "left_anti").select(*keyed.columns))
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, own) of the sets of the rows ``wanted`` (none, k, h, node), stored. Other texts are passed over by a table of bits, not shuffled."""
-    bucket = F.pmod("h", F.lit(BUCKETS))
     words = np.zeros(BUCKETS // 64, np.int64)  # at most that many rows come to the driver
-    found = wanted.select(bucket.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits")).toArrow()
+    found = bucket_bits(wanted).toArrow()
     words[found["w"].to_numpy()] = found["bits"].to_numpy()
     bits = words.view(np.uint64)
 
     def run(batches):
         for batch in batches:
-            b = np.mod(batch.column(2).to_numpy(), BUCKETS)
+            b = batch.column(3).to_numpy()
             rows = np.flatnonzero(bits[b // 64] >> (b % 64).astype(np.uint64) & np.uint64(1))
             own = [np.unique(_hashes(text, shingle)) for text in _texts(batch, rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(3)), _lists(own)], names=["none", "k", "h", "own"])
         release()
 
-    sets = docs.select("none", "k", "h", "text").mapInArrow(run, "none boolean, k long, h long, own array<long>")
-    return stored(sets.join(wanted, ["none", "k", "h"]).dropDuplicates(["node"]).select("node", "own"))
+    sets = docs.select("none", "k", "h", bucket().alias("b"), "text").mapInArrow(run, "none boolean, k long, h long, own array<long>")
+    return stored(sets.dropDuplicates(["none", "k", "h"]).join(wanted, ["none", "k", "h"]).select("node", "own"))  # one exchange serves both
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:

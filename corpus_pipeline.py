@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Five-word shingles; documents link from a Jaccard similarity of 0.8. Of rows of one id with equal text one stays."""
     gone = simhash.similar_rows(docs)
     keyed = docs.select("*", *simhash.row_key(F.col("doc_id"), F.col("text")))
-    kept = keyed.join(gone, ["none", "k", "h"], "left_anti")
+    kept = simhash.without(keyed, gone)
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept.select(*docs.columns)
     twin = Window.partitionBy("none", "k", "h").orderBy("h")

@@ -135,3 +135,32 @@ def test_hot_blocks(spark, monkeypatch):
         assert sorted(r["k"] for r in gone.collect()) == list(range(1, 40))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def exchanged(plan) -> int:
+    """Rows that the exchanges of a plan that ran have written."""
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(exchanged(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """However many rows go, only they (and the few that share their buckets) meet the list of what goes."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(12))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)] + [(None, rows[0][1]), (None, "only here, without an id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        kept = pipeline.near_duplicates(spark, df, "")
+        got = [(r["doc_id"], r["text"]) for r in kept.where("doc_id IS NULL OR doc_id < 1000").collect()]
+        assert sorted(got, key=str) == sorted([*rows[:400], (None, "only here, without an id"), (None, None)], key=str) and kept.count() == 402
+        plain = df.where("doc_id IS NOT NULL")
+        kept = pipeline.near_duplicates(spark, plain, "")
+        assert len(kept.collect()) == 400
+        assert exchanged(kept._jdf.queryExecution().executedPlan()) < 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -20,13 +20,13 @@ import numpy as np
 import regex
 import tiktoken
 
-from coppice.llm.common import mix64, ranges
+from coppice.llm.common import caches, mix64, ranges
 
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 _END = 0x110000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Pre-tokens kept by a worker, and their code points and ids in all; beyond that, the table starts anew.
-KEPT, KEPT_POINTS = 1 << 20, 1 << 24
+KEPT, KEPT_POINTS = 1 << 18, 1 << 22
 #: Code points of the longest pre-token that is kept, and of the parts of long texts.
 LONG, PART = 256, 1 << 20
 _BREAK = regex.compile(r"(?<=\S)\s")
@@ -36,7 +36,7 @@ _BREAK = regex.compile(r"(?<=\S)\s")
 def classes() -> np.ndarray:
     """The class of each code point: letter, number, white space or other."""
     out = np.zeros(_END + 1, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, _END))))
+    every = np.append(np.arange(0xD800), np.arange(0xE000, _END)).astype("<u4").tobytes().decode("utf-32-le")  # a string a sign would be 100 MB
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
             a, b = m.span()
@@ -278,10 +278,11 @@ def parts(text: str):
 
 
 _loaded: dict[str, ByteBpe] = {}
+caches.append(_loaded.clear)
 
 
 def coder(path: str) -> ByteBpe:
-    """The worker's own coder for this file."""
+    """The worker's own coder for this file, until a task of another operator runs there."""
     if path not in _loaded:
         _loaded[path] = ByteBpe(path)
     return _loaded[path]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +150,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def release() -> None:
-    """Gives freed memory back to the system: workers live on between tasks, beside the executor's own."""
+#: Called to empty what an operator keeps in a worker for its own next task.
+caches: list[Callable[[], None]] = []
+
+
+def release(keep: bool = False) -> None:
+    """Gives freed memory back to the system: workers live on between tasks, beside the executor's own. Unless ``keep``, the caches go first."""
+    if not keep:
+        for empty in caches:
+            empty()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -209,6 +209,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     fields = [chosen.schema[c] for c in own] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
 
     def run(batches):
+        release()
         m = shared.value
         languages = pa.array([*m.languages, UNKNOWN], pa.string())
         for batch in batches:

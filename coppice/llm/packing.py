@@ -130,7 +130,7 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: i
                     row += 1
                 ids, counts = bpe.encode(own)
                 yield cut(ids, counts, names.slice(first, row - first))
-        release()
+        release(keep=True)  # the next task of this operator needs the same table
 
     def cut(ids, counts, names):
         total = counts + 1

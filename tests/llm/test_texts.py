@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from coppice.llm import fingerprints as fp
-from coppice.llm import langid, packing, tokens
+from coppice.llm import bytebpe, langid, packing, tokens
 from coppice.llm.bytebpe import ByteBpe
+from coppice.llm.common import release
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SP = public_tokenizers.path("piece_bpe_32k.model")
@@ -406,3 +408,27 @@ def test_held_out_labels_change_nothing(spark):
     wrong = df.withColumn("lang", F.when(langid.fold(F.col("doc_id")) == 0, "zz").otherwise(F.col("lang")))
     key = lambda r: r["doc_id"]
     assert sorted(langid.predict_languages(df).collect(), key=key) == sorted(langid.predict_languages(wrong).collect(), key=key)
+
+
+def test_a_worker_keeps_one_operators_table():
+    own = bytebpe.coder(BPE)
+    release(keep=True)
+    assert bytebpe.coder(BPE) is own
+    release()
+    assert bytebpe.coder(BPE) is not own
+
+
+def test_a_coder_is_small_however_many_words_it_saw():
+    rnd = random.Random(4)
+    texts = [" ".join(f"{rnd.getrandbits(32):x}" for _ in range(1000)) for _ in range(700)]
+    bytebpe.classes.cache_clear()
+    tracemalloc.start()
+    own = ByteBpe(BPE)
+    bytebpe.classes()
+    built = tracemalloc.get_traced_memory()[1]
+    counts = [own.encode(texts[at : at + 20])[1].tolist() for at in range(0, 700, 20)]
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert built < 80 << 20 and held < 40 << 20
+    library = Tokenizer.from_file(BPE)
+    assert sum(counts, [])[-20:] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts[-20:]]

@@ -49,7 +49,7 @@ class _Settings(_Columns):
     checkpointInterval = _param("checkpointInterval", "levels between checkpoints of kept nodes; -1: none", TypeConverters.toInt)
     maxMemoryMultiplier = _param("maxMemoryMultiplier", "memory of a local task over that of its rows", TypeConverters.toFloat)
     maxTasksPerBin = _param("maxTasksPerBin", "most local tasks in one bin", TypeConverters.toInt)
-    localMaxRows = _param("localMaxRows", "rows below which a node is finished locally; derived from memory if unset", TypeConverters.toInt)
+    localMaxRows = _param("localMaxRows", "rows below which a node is finished locally, as far as memory holds them; derived from memory if unset", TypeConverters.toInt)
     exactSplits = _param("exactSplits", "find thresholds from all rows", TypeConverters.toBoolean)
     zeroGainLocally = _param("zeroGainLocally", "accept them in nodes finished locally, though not above", TypeConverters.toBoolean)
     zeroGain = _param("zeroGain", "accept valid splits that gain nothing", TypeConverters.toBoolean)

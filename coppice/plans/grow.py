@@ -21,9 +21,10 @@ from coppice.plans.schedule import PYTHON_MEMORY, Task, TimePrediction, by_rows,
 from coppice.plans.tree import Tree
 from coppice.sources.folders import delete, write_aside
 
-DISTRIBUTED_DEPTH = 30
 #: Features whose histograms one reducer holds at a time.
 FEATURE_BLOCK = 16
+#: Rows are merged by their bins if that leaves one in so many at most, and takes no more sums than these.
+MERGE_SHARE, MERGE_SUMS = 4, 128
 
 
 @dataclass
@@ -91,6 +92,15 @@ def _matrix(column: pa.Array, kind=np.int64) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(kind) if len(column) else np.zeros((0, 0), kind)
 
 
+def _labels(column: pa.Array) -> np.ndarray:
+    """A label a row, or of merged rows the sums of each tree."""
+    return _matrix(column, np.float64) if pa.types.is_list(column.type) else column.to_numpy(zero_copy_only=False)
+
+
+def _of_tree(labels: np.ndarray, tree: int) -> np.ndarray:
+    return labels if labels.ndim == 1 else labels[:, 2 * tree : 2 * tree + 2]
+
+
 def _block(features: int) -> int:
     return -(-features // FEATURE_BLOCK)
 
@@ -182,15 +192,15 @@ def find_best_splits(state: _State, trees: list[Tree], group: list[tuple[int, in
             if not batch.num_rows:
                 continue
             bins, bag = _matrix(batch.column(0)), _matrix(batch.column(3), np.float64)
-            labels, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            labels, weights = _labels(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             nodes = _nodes_of(batch, bins, flats)
             for t, slot_of in enumerate(slots):
                 slot = slot_of[nodes[:, t]]
-                rows = np.flatnonzero((slot >= 0) & (bag[:, t] > 0))
+                rows = np.flatnonzero((slot >= 0) & (bag[:, t] != 0))
                 if not len(rows):
                     continue
                 slot, w = slot[rows], bag[rows, t] * weights[rows]
-                own, y = bins[rows], labels[rows]
+                own, y = bins[rows], _of_tree(labels, t)[rows]
                 local_slots, at = np.unique(slot, return_inverse=True)
                 seen[local_slots] = True
                 cells_k = cells * k
@@ -202,7 +212,7 @@ def find_best_splits(state: _State, trees: list[Tree], group: list[tuple[int, in
                     if meta.classify:
                         add = np.bincount((cell + y.astype(np.int64))[has], w[has], minlength=size)
                     else:
-                        add = sum(np.bincount((cell + i)[has], v[has], minlength=size) for i, v in enumerate((w, w * y, w * y * y)))
+                        add = sum(np.bincount((cell + i)[has], v[has], minlength=size) for i, v in enumerate(local.moments(y, w)))
                     sums[local_slots, j] += add.reshape(len(local_slots), cells_k)
         for b in range(_block(width)):
             for own in np.array_split(np.flatnonzero(seen), 1 + int(seen.sum()) // 256):
@@ -285,7 +295,7 @@ def train(df: DataFrame, strategy: Strategy, num_features: int) -> Result:
         wrong = F.concat(F.lit(f"labels must be whole numbers in [0, {strategy.num_classes}), but a row has "), F.coalesce(F.col("label").cast("string"), F.lit("null")))
         fits = (F.col("label") >= 0) & (F.col("label") < strategy.num_classes) & (F.col("label") == F.floor("label"))
         df = df.withColumn("label", F.when(fits, F.col("label")).otherwise(F.raise_error(wrong).cast("double")))
-    num_rows = df.count()
+    num_rows, lightest = df.agg(F.count("*"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
     meta = build(
         num_features,
         num_rows,
@@ -307,19 +317,27 @@ def train(df: DataFrame, strategy: Strategy, num_features: int) -> Result:
     meta = replace(meta, num_splits=tuple(len(t) for t in thresholds))
     lap("splits")
     bagged = bagging.bag(binning.bin_rows(df, meta, thresholds), strategy.num_trees, strategy.subsampling, strategy.seed)
-    state = _State(bagged.select("bins", "label", "weight", "bag"), strategy)
+    rows = bagged.select("bins", "label", "weight", "bag")
+    most = num_rows
+    if _merges(strategy, meta):
+        rows, most = binning.merge_rows(rows, meta, strategy.num_trees), binning.cells_of(meta)
+    state = _State(rows, strategy)
     try:
-        return _grow(state, strategy, meta, thresholds, seconds, lap, spark)
+        return _grow(state, strategy, meta, thresholds, seconds, lap, _local_limit(spark, strategy, meta, most, lightest))
     finally:
         state.close()
 
 
-def _grow(state: _State, strategy: Strategy, meta: Metadata, thresholds, seconds: dict, lap, spark) -> Result:
+def _merges(strategy: Strategy, meta: Metadata) -> bool:
+    """Whether few rows differ in their bins. A trainer of the user's own gets rows as they are."""
+    sums = strategy.num_trees * (1 if meta.classify else 3)
+    return strategy.local_trainer is local.fit and sums <= MERGE_SUMS and binning.cells_of(meta) * MERGE_SHARE <= meta.num_rows
+
+
+def _grow(state: _State, strategy: Strategy, meta: Metadata, thresholds, seconds: dict, lap, limit: float) -> Result:
     trees = [Tree() for _ in range(strategy.num_trees)]
     for t in trees:
         t.add(0.0, 0.0)
-    limit = strategy.local_max_rows if strategy.local_max_rows is not None else _default_local_rows(spark, strategy, meta)
-    depth_limit = min(strategy.max_depth, DISTRIBUTED_DEPTH)
     level = [(t, 0) for t in range(strategy.num_trees)]
     tasks: list[Task] = []
     depth = 0
@@ -332,7 +350,7 @@ def _grow(state: _State, strategy: Strategy, meta: Metadata, thresholds, seconds
                 if n == 0:
                     tree.prediction[0] = float(predict_of(found.stats, meta.impurity))
                     tree.impurity[0] = float(impurity_of(found.stats, meta.impurity)) if found.valid else -1.0
-                if not local.usable(found, meta) or depth >= depth_limit:
+                if not local.usable(found, meta) or depth >= strategy.max_depth:
                     continue
                 kids = local.apply_split(tree, n, found, meta, thresholds)
                 for kid, stats in zip(kids, (found.left, found.right)):
@@ -341,7 +359,7 @@ def _grow(state: _State, strategy: Strategy, meta: Metadata, thresholds, seconds
                         continue
                     if rows < limit:
                         tasks.append(Task(t, kid, rows, impure, depth + 1))
-                    elif depth + 1 < depth_limit:
+                    else:
                         after.append((t, kid))
         depth += 1
         level = after
@@ -355,6 +373,13 @@ def _grow(state: _State, strategy: Strategy, meta: Metadata, thresholds, seconds
     return Result(done, meta, thresholds, seconds, nodes)
 
 
+def _local_limit(spark, strategy: Strategy, meta: Metadata, most: int, lightest: float | None) -> float:
+    """Weight below which a node is finished in memory: ``local_max_rows``, but no more than a task holds of ``most`` rows."""
+    fits = _default_local_rows(spark, strategy, meta)
+    own = fits if strategy.local_max_rows is None else strategy.local_max_rows
+    return own if most <= fits else min(own, fits * min(1.0, lightest or 1.0))
+
+
 def _default_local_rows(spark, strategy: Strategy, meta: Metadata) -> int:
     """From what an executor's Python workers may use and its cores, as configured; where nothing is, from maxMemoryInMB."""
     conf = spark.sparkContext.getConf()
@@ -380,18 +405,18 @@ def _finish_locally(state: _State, trees: list[Tree], tasks: list[Task], strateg
             if not batch.num_rows:
                 continue
             own, bag = _matrix(batch.column(0)), _matrix(batch.column(3), np.float64)
-            labels, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            labels, weights = _labels(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             nodes = _nodes_of(batch, own, flats)
             small = own.astype(narrow)
             for t, slot_of in enumerate(slots):
                 slot = slot_of[nodes[:, t]]
-                rows = np.flatnonzero((slot >= 0) & (bag[:, t] > 0))
+                rows = np.flatnonzero((slot >= 0) & (bag[:, t] != 0))
                 if not len(rows):
                     continue
                 rows = rows[np.argsort(slot[rows], kind="stable")]
                 names, first = np.unique(slot[rows], return_index=True)
                 parts = [rows[a:z] for a, z in zip(first, np.append(first[1:], len(rows)))]
-                columns = [bin_of[names].tolist(), names.tolist(), [small[r].tobytes() for r in parts], [labels[r].tobytes() for r in parts], [(bag[r, t] * weights[r]).tobytes() for r in parts]]
+                columns = [bin_of[names].tolist(), names.tolist(), [small[r].tobytes() for r in parts], [_of_tree(labels, t)[r].tobytes() for r in parts], [(bag[r, t] * weights[r]).tobytes() for r in parts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, sent)], names=["bin", "task", "bins", "label", "w"])
 
     trainer, seed, max_depth = strategy.local_trainer, strategy.seed, strategy.max_depth
@@ -403,6 +428,8 @@ def _finish_locally(state: _State, trees: list[Tree], tasks: list[Task], strateg
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         own = joined("bins", narrow).reshape(-1, meta.num_features).astype(np.int64)
         labels, weights = joined("label", np.float64), joined("w", np.float64)
+        if len(labels) > len(weights):
+            labels = labels.reshape(-1, 2)
         key = (task.tree, task.node + (1 << 32))
         sub = trainer(own, labels, weights, meta, thresholds, max_depth - task.depth, seed, key)
         spent = time.perf_counter() - began

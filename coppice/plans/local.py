@@ -15,13 +15,20 @@ from coppice.plans.tree import Tree
 LocalTrainer = Callable[..., Tree]
 
 
+def moments(labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(w, wy, wyy) of rows; labels of merged rows are (wy, wyy) already."""
+    if labels.ndim == 2:
+        return weights, labels[:, 0], labels[:, 1]
+    return weights, weights * labels, weights * labels * labels
+
+
 def statistics(labels: np.ndarray, weights: np.ndarray, meta: Metadata) -> np.ndarray:
     """Row-wise statistics whose sums are a node's."""
     if meta.classify:
         out = np.zeros((len(labels), meta.num_classes))
         out[np.arange(len(labels)), labels.astype(np.int64)] = weights
         return out
-    return np.stack([weights, weights * labels, weights * labels * labels], 1)
+    return np.stack(moments(labels, weights), 1)
 
 
 def cells(column: np.ndarray, size: int, labels: np.ndarray, weights: np.ndarray, meta: Metadata) -> np.ndarray:
@@ -29,7 +36,7 @@ def cells(column: np.ndarray, size: int, labels: np.ndarray, weights: np.ndarray
     if meta.classify:
         k = meta.num_classes
         return np.bincount(column * k + labels.astype(np.int64), weights, minlength=size * k).reshape(size, k)
-    return np.stack([np.bincount(column, w, minlength=size) for w in (weights, weights * labels, weights * labels * labels)], 1)
+    return np.stack([np.bincount(column, w, minlength=size) for w in moments(labels, weights)], 1)
 
 
 def node_features(meta: Metadata, seed: int, tree: int, node: Sequence[int] | int) -> list[int]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from coppice import estimators as E
 from coppice import queries
+from coppice.plans import grow
 
 
 @pytest.mark.parametrize("name", ["stump_weighted", "stump_variance"])
@@ -24,3 +28,66 @@ def test_gains_that_round_to_the_same_tie(spark, tmp_path, name):
     want = con.sql(queries.ORACLES[name]).fetchall()
     got = queries.QUERIES[name](spark, str(tmp_path)).select("feature", "threshold", "left_weight", "gain").collect()
     assert [tuple(r) for r in got] == want and want[0][0] == 0
+
+
+DATA = Path("/root/testdata/sf0.01")
+
+
+@pytest.fixture
+def held(monkeypatch):
+    """The numbers of rows that trainings keep for their levels and local tasks."""
+    seen, init = [], grow._State.__init__
+
+    def counted(self, rows, strategy):
+        init(self, rows, strategy)
+        seen.append(self.rows.count())
+
+    monkeypatch.setattr(grow._State, "__init__", counted)
+    return seen
+
+
+def answer(frame):
+    return sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in frame), key=repr)
+
+
+def check_against_sql(spark, name, held, most):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    got = queries.QUERIES[name](spark, str(DATA))
+    assert answer(got.collect()) == answer(con.sql(queries.ORACLES[name]).select(*got.columns).fetchall())
+    assert held and max(held) <= most
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_local_rows_are_merged_train_variance_local(spark, held):
+    """60,000 rows have 50 x 11 x 9 combinations of bins: no task gets more, whatever the table's size."""
+    check_against_sql(spark, "train_variance_local", held, 4_950)
+
+
+def points(spark, n, weight=1.0):
+    """Rows of which hardly two share their bins."""
+    own = spark.range(n).select(*(F.xxhash64("id", F.lit(i)).alias(f"x{i}") for i in range(6)), "id")
+    x = [F.abs(F.col(f"x{i}") % 1000).cast("double") for i in range(5)]
+    return own.select(F.array(*x).alias("features"), ((x[0] > 500).cast("double") * 4 + (x[1] > 300).cast("double") * 2 + F.abs(F.col("x5") % 8) / 8).alias("label"), F.lit(weight).alias("weight"), F.col("id").alias("row_id"))
+
+
+@pytest.mark.parametrize("weight", [1.0, 2.0**-10])
+def test_local_tasks_keep_to_memory(spark, held, weight):
+    """With 1 MB for the rows of a task, a limit of a billion doesn't send 20,000 distinct rows to one; nor do small weights."""
+    df = points(spark, 20_000, weight).persist()
+    settings = {"max_depth": 4, "max_bins": 32, "max_memory_mb": 1}
+    tree, stats = E.train_regressor(df, **settings, local_max_rows=10**9, with_statistics=True)
+    assert held == [20_000] and stats.count() > 0
+    assert max(r["rows"] for r in stats.collect()) / weight < (1 << 20) / (4 * 8 * 7)
+    a, b = (m.trees[0].copy() for m in (tree, E.train_regressor(df, **settings, local_max_rows=0)))
+    assert (a.feature, a.threshold, a.left, a.right, a.prediction) == (b.feature, b.threshold, b.left, b.right, b.prediction)
+    df.unpersist()
+
+
+def test_deep_trees_are_whole_without_local_tasks(spark):
+    """Nodes that are too large for memory go on below depth 30."""
+    d = 32
+    rows = [(float(i == d), [float(i == j or i == d) for j in range(d)], i) for i in range(d + 1)]
+    rows = [(y, [1.0 - v if i < d else 1.0 for v in x], i) for y, x, i in rows]
+    df = spark.createDataFrame(rows, "label double, features array<double>, row_id long").withColumn("weight", F.lit(1.0)).coalesce(1)
+    assert E.train_classifier(df, num_classes=2, max_depth=d, max_memory_mb=0, local_max_rows=1000).trees[0].depth() == d

@@ -97,3 +97,8 @@ def test_deep_trees_are_whole_without_local_tasks(spark):
 def test_rows_are_merged_two_phase_equals_one_phase(spark, held):
     assert queries.two_phase_equals_one_phase(spark, str(DATA)).first()["same"]
     assert len(held) == 2 and max(held) <= 4_950
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_local_rows_are_merged_train_gini_local(spark, held):
+    check_against_sql(spark, "train_gini_local", held, 3 * 4_950)

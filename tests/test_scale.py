@@ -102,3 +102,8 @@ def test_rows_are_merged_two_phase_equals_one_phase(spark, held):
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_local_rows_are_merged_train_gini_local(spark, held):
     check_against_sql(spark, "train_gini_local", held, 3 * 4_950)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_local_rows_are_merged_train_weighted_local(spark, held):
+    check_against_sql(spark, "train_weighted_local", held, 3 * 4_950)

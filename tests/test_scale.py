@@ -107,3 +107,16 @@ def test_local_rows_are_merged_train_gini_local(spark, held):
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_local_rows_are_merged_train_weighted_local(spark, held):
     check_against_sql(spark, "train_weighted_local", held, 3 * 4_950)
+
+
+def check_against_unmerged(spark, monkeypatch, name, held, most):
+    got = answer(queries.QUERIES[name](spark, str(DATA)).collect())
+    assert len(held) == 1 and held[0] <= most
+    monkeypatch.setattr(grow, "MERGE_SUMS", 0)
+    assert got == answer(queries.QUERIES[name](spark, str(DATA)).collect())
+    assert held[1] == 60_000
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_rows_are_merged_train_forest(spark, monkeypatch, held):
+    check_against_unmerged(spark, monkeypatch, "train_forest", held, 3 * 32 * 11 * 9)

@@ -120,3 +120,14 @@ def check_against_unmerged(spark, monkeypatch, name, held, most):
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_rows_are_merged_train_forest(spark, monkeypatch, held):
     check_against_unmerged(spark, monkeypatch, "train_forest", held, 3 * 32 * 11 * 9)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_rows_are_merged_train_tree_deep(spark, monkeypatch, held):
+    """Splits and children of all nodes are equal; sums of prices differ in their last digits."""
+    got = queries.train_tree_deep(spark, str(DATA)).orderBy("id").collect()
+    assert len(held) == 1 and held[0] <= 4_950
+    monkeypatch.setattr(grow, "MERGE_SUMS", 0)
+    want = queries.train_tree_deep(spark, str(DATA)).orderBy("id").collect()
+    assert [(r["id"], r["leftChild"], r["rightChild"], r["featureIndex"]) for r in got] == [(r["id"], r["leftChild"], r["rightChild"], r["featureIndex"]) for r in want]
+    assert [r["prediction"] for r in got] == pytest.approx([r["prediction"] for r in want])
